@@ -11,6 +11,7 @@ from veilspan.llm.bpe import encode_documents
 from veilspan.llm.chat import format_chats, read_back, to_turns
 from veilspan.llm.common import read_table
 from veilspan.llm.linededup import MAX_SHARE, MIN_SITES, dedup_lines
+from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mix
 from veilspan.llm.quality import ledger, verdict
 from veilspan.llm.sharding import shard_rows
@@ -120,3 +121,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
+
+
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85, rows=6)
