@@ -15,6 +15,7 @@ from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mix
 from veilspan.llm.quality import ledger, verdict
 from veilspan.llm.sharding import shard_rows
+from veilspan.llm.suffixdedup import remove_repeats
 from veilspan.llm.tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85, rows=6)
+
+
+@query("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
