@@ -56,9 +56,8 @@ def corpus(seed):
     return rows + [(300, None), (301, ""), (302, " \n")]
 
 
-@pytest.mark.parametrize(("k", "percent", "rows", "small"), [(3, 85, 6, 48), (5, 80, 5, 1)])
-def test_components_match_brute_force(spark, monkeypatch, k, percent, rows, small):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)  # 1: every open bucket goes the exact way
+@pytest.mark.parametrize(("k", "percent", "rows"), [(3, 85, 6), (5, 80, 5)])
+def test_components_match_brute_force(spark, k, percent, rows):
     data = corpus(k)
     out = minhash.near_duplicates(spark.createDataFrame([(i, t, "x", "x") for i, t in data], SCHEMA), k, percent, rows).collect()
     want = brute(data, k, percent)

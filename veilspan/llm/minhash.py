@@ -7,9 +7,8 @@ full shingle sets are compared. The steps:
 1. Documents with equal shingle sets form a class; its smallest id stands for it.
 2. Representatives that share a band are in one bucket. Each is compared with the smallest id it meets, then
    with the head of each bucket where it is still apart: links grow as stars, never as all pairs of a group.
-3. Buckets that still hold several components are resolved exactly: small ones pair by pair between
-   components, large ones by prefix filtering on the rarest shingles, which finds every pair over the
-   threshold without meeting in common shingles.
+3. Members of buckets that still hold several components are resolved exactly, by prefix filtering on their
+   rarest shingles: it finds every pair over the threshold and few others.
 4. Components of the links; every document gets the smallest id it can reach.
 """
 
@@ -28,8 +27,6 @@ from veilspan.llm.components import components
 
 #: Chance that two documents just at the threshold share no band.
 MISS = 1e-7
-#: Unresolved buckets up to this many members are compared pair by pair between components.
-SMALL_BUCKET = 48
 #: Words whose hashes a worker remembers.
 WORD_CACHE = 400_000
 
@@ -180,15 +177,22 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) candidates among the nodes of ``open_`` (_id, _label): pairs of different labels that share one
-    of their rarest shingles. Two sets over the threshold must meet there, so no pair is lost."""
+    of their rarest shingles and can still reach the threshold from there on.
+
+    Shingles are ranked by rarity. Two sets over the threshold must meet in the first n - ceil(n * t) + 1 of
+    them; and when their first common shingle is the i-th of one and the j-th of the other, they share at
+    most 1 + min(n - i, m - j), which must reach what sizes n and m need. Later common shingles only lower
+    that bound, so testing it on every common one loses no pair.
+    """
     mine = sets.join(open_, "_id").select("_id", "_label", F.size("_shingles").alias("_n"), F.explode("_shingles").alias("_x"))
-    often = mine.groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
-    # Longest prefix that has to be looked at: n - ceil(n * percent / 100) + 1.
-    ranked = mine.join(often, "_x").withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_f", "_x")))
-    head = ranked.where((F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * percent / 100) + 1) & (F.col("_f") > 1)).select("_x", "_id", "_label", "_n")
-    other = head.select(F.col("_x").alias("_y"), F.col("_id").alias("_id2"), F.col("_label").alias("_label2"), F.col("_n").alias("_n2"))
-    pairs = head.join(other, (F.col("_x") == F.col("_y")) & (F.col("_id") < F.col("_id2")))
-    return pairs.where((F.col("_label") != F.col("_label2")) & _close(F.col("_n"), F.col("_n2"), percent)).select(F.col("_id").alias("u"), F.col("_id2").alias("v")).distinct()
+    often = mine.groupBy("_x").agg(F.count(F.lit(1)).alias("_f"), (F.min("_label") != F.max("_label")).alias("_mixed"))
+    ranked = mine.join(often, "_x").withColumn("_i", F.row_number().over(W.partitionBy("_id").orderBy("_f", "_x")))
+    head = ranked.where((F.col("_i") <= F.col("_n") - F.ceil(F.col("_n") * percent / 100) + 1) & F.col("_mixed")).select("_x", "_id", "_label", "_n", "_i")
+    other = head.select(F.col("_x").alias("_y"), F.col("_id").alias("_id2"), F.col("_label").alias("_label2"), F.col("_n").alias("_m"), F.col("_i").alias("_j"))
+    reach = 1 + F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j"))
+    able = (100 + percent) * reach >= percent * (F.col("_n") + F.col("_m"))
+    pairs = head.join(other, (F.col("_x") == F.col("_y")) & (F.col("_id") < F.col("_id2")) & (F.col("_label") != F.col("_label2")) & able)
+    return pairs.select(F.col("_id").alias("u"), F.col("_id2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,15 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
             labels = _relabel(labels, links)
 
         tagged = labelled(members.select("_key", "_rep", "_n"), "_rep", "_label")
-        mixed = tagged.groupBy("_key").agg(F.count(F.lit(1)).alias("_c"), F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("_key").alias("_mk"), "_c")
-        rest = stage_table(tagged.join(mixed, F.col("_key") == F.col("_mk")).select("_key", "_rep", "_n", "_label", "_c"), "rest")
-        small = rest.where(F.col("_c") <= SMALL_BUCKET)
-        other = small.select(F.col("_key").alias("_k2"), F.col("_rep").alias("_r2"), F.col("_n").alias("_n2"), F.col("_label").alias("_l2"))
-        pairs = small.join(other, (F.col("_key") == F.col("_k2")) & (F.col("_rep") < F.col("_r2"))).where((F.col("_label") != F.col("_l2")) & _close(F.col("_n"), F.col("_n2"), percent)).select(F.col("_rep").alias("u"), F.col("_r2").alias("v")).distinct()
-        open_ = rest.where(F.col("_c") > SMALL_BUCKET).select(F.col("_rep").alias("_id"), "_label").distinct()
-        if not open_.isEmpty():
-            pairs = pairs.union(_prefix_pairs(open_, sets, percent)).distinct()
-        links = stage_table(_links(pairs, sets, percent), "links")
+        mixed = tagged.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("_key").alias("_mk"))
+        open_ = stage_table(tagged.join(mixed, F.col("_key") == F.col("_mk"), "left_semi").select(F.col("_rep").alias("_id"), "_label").distinct(), "open")
+        links = stage_table(_links(_prefix_pairs(open_, sets, percent), sets, percent), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
         drop_table(sets)
