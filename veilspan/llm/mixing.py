@@ -145,9 +145,13 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights=WEIGHTS, most
     return rows.select("_row" if carry else F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 17, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row as often as it is taken, dealt to ``shards`` partitions
-    in the order of each shard."""
+def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 17, parts: int = 64, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row as often as it is taken, in the order of each shard.
+
+    A shard is dealt out in ``parts`` pieces, so that it isn't one task; each piece is ordered locally. The
+    number of tasks is the session's, since it follows the size of the data.
+    """
     drawn = mix(docs, shards, seed, carry=True, **options).select("_row", F.explode("copies").alias("_c"))
-    placed = drawn.repartition(shards, F.col("_c.shard")).sortWithinPartitions("_c.shard", "_c.place", "_c.pass")
+    drawn = drawn.withColumn("_part", F.pmod(F.col("_c.place"), F.lit(parts)))
+    placed = drawn.repartition(F.col("_c.shard"), F.col("_part")).sortWithinPartitions("_c.shard", "_part", "_c.place", "_c.pass")
     return placed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.bpe import encode_documents
 from veilspan.llm.chat import format_chats, read_back, to_turns
-from veilspan.llm.common import read_table
+from veilspan.llm.common import read_table, vocabulary
 from veilspan.llm.linededup import MAX_SHARE, MIN_SITES, dedup_lines
 from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mix
@@ -25,13 +25,6 @@ _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def vocabulary(name: str) -> str:
-    """Where an installed public tokenizer file lies; the same on every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -132,3 +125,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
