@@ -11,6 +11,7 @@ from veilspan.llm.bpe import encode_documents
 from veilspan.llm.chat import format_chats, read_back, to_turns
 from veilspan.llm.common import read_table, vocabulary
 from veilspan.llm.linededup import MAX_SHARE, MIN_SITES, dedup_lines
+from veilspan.llm.media import image_copies, pictures
 from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mix
 from veilspan.llm.quality import ledger, verdict
@@ -89,6 +90,12 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+@query("op2_media_copies")
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = image_copies(pictures(read_table(spark, sf_dir, "embeddings")))
+    return out.withColumnRenamed("image_id", "vec_id")
+
+
 @query("op6_chat_formatting")
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
