@@ -5,10 +5,359 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspan.operators import anonymize as A
+from veilspan.operators import detect as D
+from veilspan.operators import merge as M
+from veilspan.operators import policy as P
+from veilspan.operators import restore as R
+from veilspan.operators import secrets as X
+from veilspan.plans import sql as Q
+from veilspan.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+EMAIL, CARD, IP, PHONE = (D.BY_NAME[n] for n in ("email", "card", "ip", "phone"))
+BASIC = (EMAIL, CARD, IP, PHONE, D.TOKEN_RULE)
+# Detectors that overlap the basic ones, so that merging has something to decide.
+HOST = D.Rule("host", "HOST", r"mail[0-9]+\.example\.com", 0.9, "hosts")
+DIGITS = D.Rule("digits", "NUMBER", r"[0-9]{6,}", 0.4, "numbers")
+ASSIGN = D.Rule("assign", "ASSIGNMENT", r'token = "[0-9a-f]*"?', 0.95, "assignments")
+WIDE = D.Rule("wide", "CONTACT", r"[a-z.]+@mail[0-9]+", 0.95, "contacts")
+OVERLAPPING = (*BASIC, HOST, DIGITS, ASSIGN, WIDE)
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _shown(rows: DataFrame, *extra: str) -> DataFrame:
+    return rows.select("doc_id", *extra, "entity_type", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+def _spans_of(spark, sf_dir, rules, *keys: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return D.span_rows(D.detect(docs.select("doc_id", *keys, "text"), rules), ["doc_id", *keys])
+
+
+_SHOW = "doc_id, entity_type, text, a AS span_start, z AS span_end"
+
+
+def _register_detectors() -> None:
+    for name, rule in (("detect_email", EMAIL), ("detect_ip", IP), ("detect_phone", PHONE), ("detect_card_luhn", CARD), ("detect_custom_token", D.TOKEN_RULE)):
+        query(name, f"SELECT {_SHOW} FROM ({Q.rule_sql(rule, 0)})")(lambda spark, sf, rule=rule: _shown(_spans_of(spark, sf, [rule])))
+
+
+_register_detectors()
+
+
+@query("detect_union_all", f"SELECT DISTINCT {_SHOW}, score FROM ({Q.spans_sql(BASIC)}) WHERE score >= 0.7")
+def detect_union_all(spark, sf_dir):
+    docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), BASIC)
+    rows = D.span_rows(docs.withColumn("spans", D.above(F.col("spans"), 0.7)), ["doc_id"])
+    return _shown(D.first_of_each(rows, ["doc_id"], "ord"), "score")
+
+
+@query("dedupe_detect", f"SELECT {_SHOW} FROM ({Q.spans_sql(BASIC)})")
+def dedupe_detect(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return _shown(D.span_rows(D.detect_distinct(docs, BASIC, "doc_id", lang_col="lang"), ["doc_id"]))
+
+
+_MERGED = "doc_id, entity_type, a AS span_start, z AS span_end, score, src AS detector"
+
+
+def _merged_shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score", F.col("source").alias("detector"))
+
+
+@query("merge_union_default", f"SELECT {_MERGED} FROM ({Q.islands_sql(Q.spans_sql(OVERLAPPING))})")
+def merge_union_default(spark, sf_dir):
+    return _merged_shown(M.merge_rows(_spans_of(spark, sf_dir, OVERLAPPING), ["doc_id"]))
+
+
+def _folded(spark, sf_dir, rules=OVERLAPPING, **options) -> DataFrame:
+    docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
+    return D.span_rows(docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), **options)), ["doc_id"])
+
+
+@query("merge_union_fold", f"SELECT {_MERGED}, substring(text, a + 1, z - a) AS text FROM ({Q.islands_sql(Q.spans_sql(OVERLAPPING))}) JOIN documents USING (doc_id)")
+def merge_union_fold(spark, sf_dir):
+    rows = _folded(spark, sf_dir)
+    return rows.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score", F.col("source").alias("detector"), "text")
+
+
+@query("merge_longest_span")
+def merge_longest_span(spark, sf_dir):
+    return _merged_shown(_folded(spark, sf_dir, resolution="longest_span"))
+
+
+@query("merge_presidio_priority")
+def merge_presidio_priority(spark, sf_dir):
+    return _merged_shown(_folded(spark, sf_dir, resolution="presidio_priority"))
+
+
+_PRIORITY = M.type_priorities(blocked=("CREDIT_CARD",), irreversible=("SECRET", "EMAIL_ADDRESS"))
+_PRIORITY_SQL = "CASE entity_type WHEN 'CREDIT_CARD' THEN 2 WHEN 'SECRET' THEN 1 WHEN 'EMAIL_ADDRESS' THEN 1 ELSE 0 END"
+
+
+@query("type_priorities", f"SELECT {_MERGED} FROM ({Q.islands_sql(Q.spans_sql(OVERLAPPING), priority=_PRIORITY_SQL)})")
+def type_priorities(spark, sf_dir):
+    return _merged_shown(M.merge_rows(_spans_of(spark, sf_dir, OVERLAPPING), ["doc_id"], _PRIORITY))
+
+
+_CONFIRMED = f"""WITH s AS ({Q.spans_sql(OVERLAPPING)})
+    SELECT * FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.src <> s.src AND o.a < s.z AND s.a < o.z)"""
+
+
+@query("merge_intersection", f"SELECT {_MERGED} FROM ({Q.islands_sql(_CONFIRMED)})")
+def merge_intersection(spark, sf_dir):
+    return _merged_shown(_folded(spark, sf_dir, strategy="intersection"))
+
+
+_ALLOW = (P.AllowRule(value="+1 (555) 123-4567"), P.AllowRule(pattern=r"[0-9]{1,2}\.[0-9]+\.[0-9]+\.[0-9]+", entity_types=("IP_ADDRESS",)), P.AllowRule(pattern=r"[a-m].*@mail[0-9]+\.example\.com"))
+
+
+@query(
+    "allow_list_verdict",
+    f"""WITH s AS ({Q.spans_sql(OVERLAPPING)}), m AS ({Q.islands_sql("SELECT * FROM s")}),
+    r AS (SELECT *, (text = '+1 (555) 123-4567' OR (entity_type = 'IP_ADDRESS' AND regexp_full_match(text, '[0-9]{{1,2}}\\.[0-9]+\\.[0-9]+\\.[0-9]+'))
+                     OR regexp_full_match(text, '[a-m].*@mail[0-9]+\\.example\\.com')) AND length(text) <= 1024 AS ok FROM s)
+    SELECT m.doc_id, m.entity_type, m.a AS span_start, m.z AS span_end, bool_and(ok) AS let_through
+    FROM m JOIN r ON r.doc_id = m.doc_id AND r.a < m.z AND m.a < r.z GROUP BY ALL""",
+)
+def allow_list_verdict(spark, sf_dir):
+    raw = _spans_of(spark, sf_dir, OVERLAPPING)
+    merged = M.merge_rows(raw, ["doc_id"])
+    out = P.allow_verdicts(merged, raw, ["doc_id"], _ALLOW)
+    return out.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "let_through")
+
+
+_BLOCKED = ("CREDIT_CARD", "SECRET")
+
+
+@query(
+    "block_gate",
+    f"""WITH s AS (SELECT source, doc_id, entity_type FROM ({Q.spans_sql(BASIC)}) JOIN documents USING (doc_id) WHERE entity_type IN ('CREDIT_CARD', 'SECRET')),
+    f AS (SELECT source, min(doc_id) AS doc_id FROM s GROUP BY source)
+    SELECT source, array_to_string(list_sort(list_distinct(list(entity_type))), ',') AS blocked_types FROM s JOIN f USING (source, doc_id) GROUP BY source""",
+)
+def block_gate(spark, sf_dir):
+    rows = _sourced(spark, sf_dir, BASIC)
+    return P.block_gate(rows, "request", "doc_id", _BLOCKED).select(F.col("request").alias("source"), F.array_join("blocked_types", ",").alias("blocked_types"))
+
+
+def _sourced(spark, sf_dir, rules) -> DataFrame:
+    """Merged spans with the document's source as the request."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
+    docs = D.detect(docs, rules)
+    docs = docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY))
+    return D.span_rows(docs, ["request", "doc_id"])
+
+
+@query(
+    "pass_gate",
+    f"""SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM ({Q.spans_sql(BASIC)}) JOIN documents USING (doc_id) WHERE entity_type = 'SECRET')""",
+)
+def pass_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"))
+    return P.pass_gate(docs, _sourced(spark, sf_dir, BASIC), "request", "doc_id", ("SECRET",)).select("doc_id")
+
+
+# Anonymisation: the request is the source, texts in order of doc_id.
+_M = f"""m AS (SELECT i.*, d.source, substring(d.text, a + 1, z - a) AS text FROM ({Q.islands_sql(Q.spans_sql(BASIC), priority=_PRIORITY_SQL)}) i JOIN documents d USING (doc_id))"""
+
+
+def _numbered_sql(reversible: str) -> str:
+    return f"""
+    first_seen AS (SELECT source, text AS original, arg_min(entity_type, doc_id * 1000000 - a) AS entity_type, min(doc_id * 1000000 - a) AS place FROM m WHERE {reversible} GROUP BY source, text),
+    map AS (SELECT source, original, entity_type, '<' || entity_type || '_' || row_number() OVER (PARTITION BY source, entity_type ORDER BY place) || '>' AS fake FROM first_seen)"""
+
+
+def _anonymized_sql(fake: str, reversible: str = "true") -> str:
+    swaps = f"SELECT m.doc_id, m.a, m.z, {fake} AS fake FROM m LEFT JOIN map ON map.source = m.source AND map.original = m.text"
+    return f"""WITH {_M}, {_numbered_sql(reversible)}, swaps AS ({swaps}), r AS ({Q.rebuilt_sql("SELECT * FROM swaps")})
+    SELECT doc_id, coalesce(r.out, d.text) AS anonymized, coalesce(n, 0) AS n_spans FROM documents d LEFT JOIN r USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM swaps GROUP BY doc_id) USING (doc_id)"""
+
+
+_LOSSY = "CASE m.entity_type WHEN 'CREDIT_CARD' THEN repeat('*', length(m.text)) WHEN 'SECRET' THEN '[SECRET]' ELSE map.fake END"
+
+
+def _anonymized(spark, sf_dir, policy: A.Policy) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
+    return A.anonymize(texts, _sourced(spark, sf_dir, BASIC), "request", "doc_id", policy).select("doc_id", "anonymized", "n_spans")
+
+
+@query("anonymize_placeholder", _anonymized_sql("map.fake"))
+def anonymize_placeholder(spark, sf_dir):
+    return _anonymized(spark, sf_dir, A.Policy())
+
+
+@query("anonymize_mask", _anonymized_sql("repeat('#', length(m.text))"))
+def anonymize_mask(spark, sf_dir):
+    types = {r.entity_type for r in BASIC}
+    return _anonymized(spark, sf_dir, A.Policy(overrides={t: A.Method("mask", "#") for t in types}))
+
+
+@query("anonymize_redact", _anonymized_sql("'[' || m.entity_type || ']'"))
+def anonymize_redact(spark, sf_dir):
+    return _anonymized(spark, sf_dir, A.Policy(A.Method("redact")))
+
+
+@query("anonymize_policy", _anonymized_sql(_LOSSY, "entity_type NOT IN ('CREDIT_CARD', 'SECRET')"))
+def anonymize_policy(spark, sf_dir):
+    return _anonymized(spark, sf_dir, A.SHIPPED)
+
+
+@query("mapping_table", f"WITH {_M}, {_numbered_sql('entity_type NOT IN (' + chr(39) + 'CREDIT_CARD' + chr(39) + ', ' + chr(39) + 'SECRET' + chr(39) + ')')} SELECT * FROM map")
+def mapping_table(spark, sf_dir):
+    return A.mapping_table(_sourced(spark, sf_dir, BASIC), "request", "doc_id").withColumnRenamed("request", "source")
+
+
+_LITERALS = "'keep <PHONE_NUMBER_1> and <EMAIL_ADDRESS_2> <EMAIL_ADDRESS_3>'"
+
+
+@query(
+    "reserved_numbers",
+    f"""WITH {_M}, {_numbered_sql("entity_type NOT IN ('CREDIT_CARD', 'SECRET')")},
+    k AS (SELECT source, original, entity_type, row_number() OVER (PARTITION BY source, entity_type ORDER BY place) AS k FROM first_seen)
+    SELECT source, original, '<' || entity_type || '_' || CASE entity_type WHEN 'PHONE_NUMBER' THEN k + 1 WHEN 'EMAIL_ADDRESS' THEN CASE WHEN k >= 2 THEN k + 2 ELSE k END ELSE k END || '>' AS fake FROM k""",
+)
+def reserved_numbers(spark, sf_dir):
+    """Every source also holds a text with placeholder literals, which no issued placeholder may equal."""
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("request"), "text")
+    literal = texts.select("request").distinct().withColumn("text", F.expr(_LITERALS))
+    taken = A.reserved_numbers(texts.unionByName(literal), "request")
+    rows = A.mapping_table(_sourced(spark, sf_dir, BASIC), "request", "doc_id", reserved=taken)
+    return rows.select(F.col("request").alias("source"), "original", "fake")
+
+
+@query("restore_exact", "SELECT doc_id, text AS restored FROM documents")
+def restore_exact(spark, sf_dir):
+    """The round trip: all types reversible, replaced and restored."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
+    rows = _sourced(spark, sf_dir, BASIC)
+    out = A.anonymize(texts, rows, "request", "doc_id", A.Policy()).select("doc_id", "request", "anonymized")
+    mapping = A.mapping_table(rows, "request", "doc_id", A.Policy(), A.reserved_numbers(texts, "request"))
+    return R.restore(out, mapping, "request", "anonymized").select("doc_id", "restored")
+
+
+@query("restore_fuzzy")
+def restore_fuzzy(spark, sf_dir):
+    """Placeholders retyped with a space are found again by similarity."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
+    rows = _sourced(spark, sf_dir, BASIC)
+    out = A.anonymize(texts, rows, "request", "doc_id", A.Policy()).where("n_spans > 0").withColumn("anonymized", F.regexp_replace("anonymized", r"<(EMAIL_ADDRESS_[0-9]+)>", "($1)"))
+    mapping = A.mapping_table(rows, "request", "doc_id", A.Policy())
+    return R.restore_fuzzy_df(out, mapping, "request", "anonymized").select("doc_id", "restored")
+
+
+@query("type_counts", f"WITH {_M} SELECT source, entity_type, count(DISTINCT text) AS n FROM m GROUP BY source, entity_type")
+def type_counts(spark, sf_dir):
+    return A.type_counts(_sourced(spark, sf_dir, BASIC), "request").withColumnRenamed("request", "source")
+
+
+@query(
+    "session_stats",
+    """SELECT sha256('salt' || user_id) AS session, count(*) AS request_count, min(ts) AS first_seen, max(ts) AS last_seen, sum(n) AS pii_count
+    FROM (SELECT user_id, ts, len(regexp_extract_all(props, '[0-9]{2,}')) AS n FROM events) GROUP BY user_id""",
+)
+def session_stats(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "ts", F.size(F.regexp_extract_all("props", F.lit("[0-9]{2,}"), F.lit(0))).cast("long").alias("n"))
+    return events.groupBy(A.session_key(F.col("user_id"), "salt").alias("session")).agg(
+        F.count(F.lit(1)).alias("request_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum("n").alias("pii_count")
+    )
+
+
+@query(
+    "inspect_report",
+    f"""WITH {_M}, {_numbered_sql("entity_type NOT IN ('CREDIT_CARD', 'SECRET')")}
+    SELECT doc_id, lang AS language, m.entity_type, m.text, a AS span_start, z AS span_end, round(score, 3) AS score, src AS detector, {_LOSSY} AS replacement,
+           m.source IN (SELECT source FROM m WHERE entity_type = 'SECRET') AS would_block
+    FROM m LEFT JOIN map ON map.source = m.source AND map.original = m.text JOIN documents d USING (doc_id)""",
+)
+def inspect_report(spark, sf_dir):
+    rows = _sourced(spark, sf_dir, BASIC)
+    refused = P.block_gate(rows, "request", "doc_id", ("SECRET",)).select(F.col("request").alias("_q"), F.lit(True).alias("_b"))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("lang").alias("language"))
+    out = A.replacements(rows, "request", "doc_id").join(refused, F.col("request") == F.col("_q"), "left").join(langs, F.col("doc_id") == F.col("_d"))
+    return out.select(
+        "doc_id", "language", "entity_type", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("score", 3).alias("score"),
+        F.col("source").alias("detector"), F.col("fake").alias("replacement"), F.coalesce("_b", F.lit(False)).alias("would_block"),
+    )
+
+
+@query(
+    "leak_audit",
+    f"""WITH {_M}, {_numbered_sql("true")}, swaps AS (SELECT m.doc_id, m.a, m.z, map.fake FROM m JOIN map ON map.source = m.source AND map.original = m.text), r AS ({Q.rebuilt_sql("SELECT * FROM swaps")}),
+    o AS (SELECT doc_id, source, coalesce(r.out, d.text) AS body FROM documents d LEFT JOIN r USING (doc_id))
+    SELECT map.source, original, count(*) FILTER (contains(body, original)) AS leaks FROM map JOIN o USING (source) GROUP BY map.source, original""",
+)
+def leak_audit(spark, sf_dir):
+    """How many sent texts of its request still hold a detected value."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
+    rows = _sourced(spark, sf_dir, BASIC)
+    sent = A.anonymize(texts, rows, "request", "doc_id", A.Policy()).select("request", "anonymized")
+    values = A.mapping_table(rows, "request", "doc_id", A.Policy()).select(F.col("request").alias("_r"), "original")
+    met = sent.join(values, F.col("request") == F.col("_r"))
+    return met.groupBy(F.col("request").alias("source"), "original").agg(F.sum(F.contains("anonymized", F.col("original")).cast("long")).alias("leaks"))
+
+
+_ENV = "'api_key=' || substr(md5(source), 1, 12) || 'x7'"
+_BARE = "'then ' || substr(md5(source), 1, 12) || 'x7, or z' || substr(md5(source), 1, 12) || 'x7'"
+
+
+@query(
+    "known_value_propagation",
+    f"""WITH k AS (SELECT source, min(doc_id) AS since FROM documents GROUP BY source),
+    t AS (SELECT doc_id, source, CASE WHEN doc_id = since THEN {_ENV} ELSE {_BARE} END AS text, since FROM documents JOIN k USING (source))
+    SELECT doc_id, source, substr(md5(source), 1, 12) || 'x7' AS text, CASE WHEN doc_id = since THEN 8 ELSE 5 END AS span_start,
+           CASE WHEN doc_id = since THEN 22 ELSE 19 END AS span_end FROM t WHERE regexp_matches(substr(md5(source), 1, 12) || 'x7', '[0-9]')""",
+)
+def known_value_propagation(spark, sf_dir):
+    """Each source's first text assigns a credential; later texts repeat it bare, once alone and once inside a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"))
+    first = docs.groupBy(F.col("request").alias("_r")).agg(F.min("doc_id").alias("_since"))
+    value = F.concat(F.substring(F.md5(F.col("request").cast("binary")), 1, 12), F.lit("x7"))
+    text = F.when(F.col("doc_id") == F.col("_since"), F.concat(F.lit("api_key="), value)).otherwise(F.concat(F.lit("then "), value, F.lit(", or z"), value))
+    texts = docs.join(first, F.col("request") == F.col("_r")).select("doc_id", "request", text.alias("text"))
+    rows = D.span_rows(D.detect(texts, X.SECRET_RULES), ["request", "doc_id"])
+    known = P.known_values(rows, "request", "doc_id")
+    out = P.copies_of_known(texts, known, "request", "doc_id")
+    return out.select("doc_id", F.col("request").alias("source"), "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+def _flagship(spark, sf_dir) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("request"), "text")
+    docs = D.detect(texts, BASIC)
+    docs = docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY))
+    rows = D.span_rows(docs, ["request", "doc_id"])
+    out = A.anonymize(texts, rows, "request", "doc_id", A.SHIPPED)
+    types = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("types"))
+    return out.join(types, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "anonymized", "n_spans", F.coalesce("types", F.lit("")).alias("types"))
+
 
+@query(
+    "flagship",
+    f"""WITH {_M.replace("d.source", "d.doc_id::VARCHAR AS source")}, {_numbered_sql("entity_type NOT IN ('CREDIT_CARD', 'SECRET')")},
+    swaps AS (SELECT m.doc_id, m.a, m.z, m.entity_type, {_LOSSY} AS fake FROM m LEFT JOIN map ON map.source = m.source AND map.original = m.text), r AS ({Q.rebuilt_sql("SELECT doc_id, a, z, fake FROM swaps")})
+    SELECT doc_id, coalesce(r.out, d.text) AS anonymized, coalesce(n, 0) AS n_spans, coalesce(types, '') AS types FROM documents d LEFT JOIN r USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(entity_type))), ',') AS types FROM swaps GROUP BY doc_id) USING (doc_id)""",
+)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Detect, merge, apply the shipped policy, number and rebuild; each document is its own request."""
+    return _flagship(spark, sf_dir)
