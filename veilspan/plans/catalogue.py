@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from veilspan.operators import anonymize as A
 from veilspan.operators import detect as D
+from veilspan.operators import gateway as G
+from veilspan.operators import languages as L
+from veilspan.operators import leaves as J
 from veilspan.operators import merge as M
 from veilspan.operators import policy as P
 from veilspan.operators import restore as R
+from veilspan.operators import refine as E
 from veilspan.operators import secrets as X
+from veilspan.operators import windows as N
 from veilspan.plans import sql as Q
 from veilspan.session import ship_package
+from veilspan.streaming import restore as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,3 +367,153 @@ def _flagship(spark, sf_dir) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, merge, apply the shipped policy, number and rebuild; each document is its own request."""
     return _flagship(spark, sf_dir)
+
+
+@query("detect_by_language")
+def detect_by_language(spark, sf_dir):
+    """Names, places and dates cued by words of the document's language; each text also says them once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    said = F.expr(
+        "CASE lang WHEN 'fr' THEN 'je m’appelle jean dupont et je vis Lyon le 3 mars 2021. ' WHEN 'de' THEN 'ich heiße Anna Berg und 12. März. ' "
+        "WHEN 'es' THEN 'me llamo Luis Vega. ' ELSE 'my name is Ann Lee and I live Oxford. ' END"
+    )
+    rows = D.span_rows(L.detect_by_language(docs.withColumn("text", F.concat(said, "text"))), ["doc_id"])
+    return _shown(rows, "score")
+
+
+@query("page_secrets", f"SELECT page_id, entity_type, text, a AS span_start, z AS span_end FROM ({Q.spans_sql(BASIC, 'pages', 'page_id', 'html')})")
+def page_secrets(spark, sf_dir):
+    pages = D.detect(table(spark, sf_dir, "pages").select("page_id", "html"), BASIC, "html")
+    return D.span_rows(pages, ["page_id"]).select("page_id", "entity_type", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+@query("secret_rules", "SELECT doc_id, 'sk-' || md5(doc_id::VARCHAR) AS text, 14 AS span_start FROM documents UNION ALL SELECT doc_id, 'p' || doc_id || 'w9', 75 + length(doc_id::VARCHAR) FROM documents")
+def secret_rules(spark, sf_dir):
+    """Two credentials written into each document's place: an assignment and a URI password."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    key = F.concat(F.lit("sk-"), F.md5(F.col("doc_id").cast("string").cast("binary")))
+    text = F.concat(F.lit('my api_key = "'), key, F.lit('" '), F.lit("postgres://user"), F.lit("x" * 8), F.col("doc_id").cast("string"), F.lit(":p"), F.col("doc_id").cast("string"), F.lit("w9@db.example.com/app"))
+    rows = D.span_rows(D.detect(docs.withColumn("text", text), X.SECRET_RULES), ["doc_id"])
+    return rows.select("doc_id", "text", F.col("start").alias("span_start")).distinct()
+
+
+@query("leaf_walk", "SELECT event_id, 'n' AS path, 'number' AS kind, props->>'k' AS text FROM events WHERE length(regexp_replace(props->>'k', '[^0-9]', '', 'g')) >= 7 UNION ALL SELECT event_id, 'tags[0]', 'string', event_type FROM events")
+def leaf_walk(spark, sf_dir):
+    """Leaves of nested JSON made from each event: a number is scanned from seven digits on."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    number = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"n": '), number, F.lit(', "ok": true, "none": null, "tags": ["'), F.col("event_type"), F.lit('"]}'))
+    return J.walk(events.withColumn("body", body), ["event_id"], "body").select("event_id", "path", "kind", "text")
+
+
+@query("tool_arguments", "SELECT conv_id, turn, 1 AS n_leaves, text AS leaf FROM conversations WHERE text <> ''")
+def tool_arguments(spark, sf_dir):
+    """Texts inside the JSON string of a tool call's arguments."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    inner = F.to_json(F.struct(F.col("text").alias("body"), F.lit(3).alias("count")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("").alias("name"), inner.alias("arguments")).alias("function"))).alias("tool_calls")))
+    out = J.walk(rows.withColumn("call", body), ["conv_id", "turn"], "call")
+    return out.select("conv_id", "turn", F.lit(1).alias("n_leaves"), F.col("text").alias("leaf"))
+
+
+@query("leaf_round_trip", "SELECT conv_id, turn, '<' || text || '>' AS text FROM conversations")
+def leaf_round_trip(spark, sf_dir):
+    """Leaves walked out, changed as rows, and put back into their documents."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    docs = rows.withColumn("body", F.to_json(F.struct(F.array(F.struct("text")).alias("a"))))
+    found = J.walk(docs, ["conv_id", "turn"], "body").withColumn("new_text", F.concat(F.lit("<"), "text", F.lit(">")))
+    out = J.put_back(docs, found, ["conv_id", "turn"], "body")
+    return out.select("conv_id", "turn", F.get_json_object("document", "$.a[0].text").alias("text"))
+
+
+_COUNT = "length(text) - length(replace(text, ' ', '')) + 1"
+
+
+@query(
+    "token_windows",
+    f"""SELECT doc_id, i AS window_no, i * 896 AS first_token, least(i * 896 + 1024, c) AS last_token, true AS covered
+    FROM (SELECT doc_id, c, unnest(range(0, 1 + greatest(ceil((c - 1024) / 896.0), 0)::INT)) AS i FROM (SELECT doc_id, {_COUNT} AS c FROM documents))""",
+)
+def token_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("c"))
+    ranges = N.token_ranges(F.col("c"))
+    rows = docs.select("doc_id", N.covers(ranges, F.col("c")).alias("covered"), F.posexplode(ranges).alias("window_no", "_r"))
+    return rows.select("doc_id", "window_no", F.col("_r.first").alias("first_token"), F.col("_r.last").alias("last_token"), "covered")
+
+
+@query("char_windows")
+def char_windows(spark, sf_dir):
+    return N.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "window_no", "offset", "chunk")
+
+
+_TOKENS = """SELECT doc_id, pos, w, CASE WHEN upper(w[1]) <> lower(w[1]) AND w[1] = upper(w[1]) THEN 'B-cap' WHEN length(w) > 8 THEN 'I-cap' ELSE 'O' END AS label
+    FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents) WHERE w <> ''"""
+
+
+@query("tag_islands")
+def tag_islands(spark, sf_dir):
+    """Spans of BIO labels given by a rule to each word, decoded by gaps and islands."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w")).where("w <> ''")
+    label = F.when(F.col("w").rlike("^[A-Z]"), "B-cap").when(F.length("w") > 8, "I-cap").otherwise("O")
+    tokens = docs.select("doc_id", "pos", label.alias("label"), (F.length("w") / 10).alias("score"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    return N.tag_islands(tokens, ["doc_id"]).select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("score", 6).alias("score"))
+
+
+@query("window_detect", f"SELECT {_SHOW} FROM ({Q.rule_sql(EMAIL, 0)})")
+def window_detect(spark, sf_dir):
+    """A pluggable model (here a pattern) over overlapping windows, with doubles removed."""
+    import re
+
+    pattern = EMAIL.pattern
+
+    def predict(chunks):
+        return [[("mail", 0.9, m.start(), m.end()) for m in re.finditer(pattern, c)] for c in chunks]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _shown(N.detect_windows(docs, ["doc_id"], predict, {"mail": "EMAIL_ADDRESS"}))
+
+
+@query(
+    "stream_restore",
+    """SELECT conv_id::VARCHAR AS stream_id, string_agg('Hi Zoë ' || conv_id || ': ' || text || ' <PERSON_1>x', '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""".replace("<PERSON_1>x", "<PERSON_12>"),
+)
+def stream_restore(spark, sf_dir):
+    """Replies cut into small fragments, across placeholders; unknown placeholders stay."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    said = F.concat(F.lit("Hi <PERSON_1>: "), "text", F.lit(" <PERSON_12>"))
+    cut = rows.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(said, F.lit("[\\s\\S]{1,7}"), F.lit(0))).alias("i", "fragment"))
+    mapping = F.to_json(F.create_map(F.lit("<PERSON_1>"), F.concat(F.lit("Zoë "), F.col("conv_id").cast("string"))))
+    fragments = cut.select(
+        F.col("conv_id").cast("string").alias("stream_id"), F.lit("text").alias("channel"), (F.col("turn") * 1_000_000 + F.col("i")).alias("seq"), "fragment",
+        F.lit(False).alias("is_json"), F.lit(False).alias("flush"), mapping.alias("mapping"),
+    )
+    return ST.restore_batch(fragments).select("stream_id", "text")
+
+
+@query(
+    "gateway_rules",
+    """SELECT conv_id * 100 + turn AS request, 'messages[0].content[0].text' AS path, 'scrub' AS action, text FROM conversations WHERE text <> ''
+    UNION ALL SELECT conv_id * 100 + turn, 'messages[0].content[2].input.q', 'scrub', role FROM conversations
+    UNION ALL SELECT conv_id * 100 + turn, 'system', 'gate', 'be brief' FROM conversations""",
+)
+def gateway_rules(spark, sf_dir):
+    """Leaves of a message body: text and tool input are scrubbed, thinking is relayed, the system text is gated."""
+    rows = table(spark, sf_dir, "conversations")
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("struct<q:string>").alias("input"))
+    thinking = F.struct(F.lit("thinking").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("private").alias("thinking"), F.lit(None).cast("struct<q:string>").alias("input"))
+    tool = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"), F.struct(F.col("role").alias("q")).alias("input"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.array(text, thinking, tool).alias("content"))).alias("messages"), F.lit("be brief").alias("system")))
+    requests = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), body.alias("body"), F.lit("messages").alias("protocol"))
+    return G.gateway_leaves(requests, "request", "body", "protocol").select("request", "path", "action", "text")
+
+
+@query("refine_spans", "SELECT doc_id, 'a' || doc_id || '@example.com' AS text, 14 AS span_start, 14 + length('a' || doc_id || '@example.com') AS span_end FROM documents")
+def refine_spans(spark, sf_dir):
+    """A padded detection of an assigned, quoted address is fitted to the address."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    value = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("@example.com"))
+    docs = docs.withColumn("text", F.concat(F.lit('SUPPORT_EMAIL="'.replace("SUPPORT_EMAIL", "CONTACT_MAIL")), value, F.lit('"\nnext')))
+    rule = D.Rule("padded", "EMAIL_ADDRESS", r'CONTACT_MAIL="[^"]*"', 0.9, "model")
+    docs = D.detect(docs, [rule])
+    rows = D.span_rows(docs.withColumn("spans", E.refine(F.col("text"), F.col("spans"))), ["doc_id"])
+    return rows.select("doc_id", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
