@@ -79,12 +79,12 @@ def iban_ok(iban: Column) -> Column:
     bare = F.upper(F.regexp_replace(iban, r"[ -]", ""))
     turned = F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4))
     code = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(((a * F.when(code(c) > 9, 100).otherwise(10) + code(c)) % 97).cast("int")))
+    rest = F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(((a * F.when(code(c) > 9, 100).otherwise(10) + code(c)) % 97).cast("int")))
     return rest == 1
 
 
 def nhs_ok(number: Column) -> Column:
     """The mod 11 check digit of a ten-digit health number."""
-    d = F.split(F.regexp_replace(number, "[^0-9]", ""), "(?!^)")
+    d = F.split(F.regexp_replace(number, "[^0-9]", ""), "(?<=.)(?=.)")
     total = F.aggregate(F.sequence(F.lit(0), F.lit(8)), F.lit(0), lambda a, i: a + (10 - i) * F.coalesce(F.get(d, i).try_cast("int"), F.lit(0)))
     return (F.size(d) == 10) & (((11 - total % 11) % 11) == F.get(d, F.lit(9)).try_cast("int"))

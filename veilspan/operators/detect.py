@@ -77,7 +77,7 @@ def custom_rule(entity_type: str, pattern: str, score: float = 0.9, value: tuple
     fold = lambda p: p.replace("(?P<", "(?<")
     if value:
         a, b, c = map(fold, value)
-        return Rule(f"custom:{entity_type}", entity_type, b, score, "custom", f"(?iu:{a})", f"(?iu:{c})" if c else "", own=True)
+        return Rule(f"custom:{entity_type}", entity_type, f"(?iu:{b})", score, "custom", f"(?iu:{a})", f"(?iu:{c})" if c else "", own=True)
     return Rule(f"custom:{entity_type}", entity_type, f"(?iu:{fold(pattern)})", score, "custom", own=True)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilspan.operators.detect import Rule
 
 SOURCE = "secret_rules"
-_NAMES = r"(?:[A-Za-z0-9]*_)*(?:api_?key|access_?token|refresh_?token|auth_?token|client_?secret|password|passwd|smtp_?secret|presented_?key)"
+_NAMES = r"(?<![A-Za-z0-9-])(?:[A-Za-z0-9]*_)*(?:api_?key|access_?token|refresh_?token|auth_?token|client_?secret|password|passwd|smtp_?secret|presented_?key)"
 _LINE = r"(?m:^)[ \t]*(?:[0-9]+[:|\t→][ \t]*)?(?:[+-][ \t]*)?(?:(?:export|env|ENV|ARG)[ \t]+)?"
 _EQ = r"[ \t]*[=:][ \t]*"
 _Q = r"(?:[^\"\\\n]|\\.)+"
