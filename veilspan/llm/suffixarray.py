@@ -32,15 +32,25 @@ def _place(c: np.ndarray, pos: np.ndarray, slot: np.ndarray, step: int) -> tuple
     """Stable slots of symbols ``c`` counted from ``slot[c]`` in direction ``step``: slots, positions, symbols, counts."""
     order = np.argsort(c, kind="stable")
     cs, ps = c[order], pos[order]
-    heads = np.flatnonzero(np.append(True, cs[1:] != cs[:-1]))
-    counts = np.diff(np.append(heads, len(cs)))
-    rank = np.arange(len(cs)) - np.repeat(heads, counts)
-    return slot[cs] + step * rank, ps, cs[heads], counts
+    new = np.empty(len(cs), bool)
+    new[0] = True
+    np.not_equal(cs[1:], cs[:-1], out=new[1:])
+    heads = np.flatnonzero(new)
+    counts = np.empty(len(heads), np.int64)
+    np.subtract(heads[1:], heads[:-1], out=counts[:-1])
+    counts[-1] = len(cs) - heads[-1]
+    kinds = cs[heads]
+    # The slot of an element: its group's slot, moved on by its place in the group.
+    base = slot[kinds] - heads if step > 0 else slot[kinds] + heads
+    dest = np.repeat(base, counts)
+    index = np.arange(len(cs))
+    return (dest + index if step > 0 else dest - index), ps, kinds, counts
 
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array induced from leftmost-smaller positions in the given order."""
     n = len(t)
+    coded = t * t.dtype.type(2) + small  # a symbol and its class in one look-up
     sa = np.full(n, -1, np.int32)
     starts = np.append(0, ends[:-1])
     dest, ps, _, _ = _place(t[lms[::-1]], lms[::-1], ends - 1, -1)
@@ -49,11 +59,13 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     slot, at, size, walk = starts.copy(), 0, _FIRST, _WALK
     while at < n:
         end = min(n, at + size)
-        s = sa[at:end]
-        j = s[s > 0] - 1
-        j = j[~small[j]]
+        from_ = np.flatnonzero(sa[at:end] > 0)
+        j = sa[at:end][from_] - 1
+        c = coded[j]
+        larger = (c & 1) == 0
+        j, c = j[larger], c[larger] >> 1
         if len(j):
-            dest, ps, cs, counts = _place(t[j], j, slot, 1)
+            dest, ps, cs, counts = _place(c, j, slot, 1)
             low = int(dest.min())
             if low < end and low - at <= _STUCK:
                 end = min(n, at + walk)
@@ -69,11 +81,9 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
             if low < end:
                 size = max(8, low - at)
                 end = low
-                s = sa[at:end]
-                j = s[s > 0] - 1
-                j = j[~small[j]]
+                j = j[: np.searchsorted(from_[larger], end - at)]
                 if len(j):
-                    dest, ps, cs, counts = _place(t[j], j, slot, 1)
+                    dest, ps, cs, counts = _place(c[: len(j)], j, slot, 1)
             if len(j):
                 sa[dest] = ps
                 slot[cs] += counts
@@ -88,10 +98,13 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     while at > 0:
         begin = max(0, at - size)
         s = sa[begin:at][::-1]
-        j = s[s > 0] - 1
-        j = j[small[j]]
+        from_ = np.flatnonzero(s > 0)
+        j = s[from_] - 1
+        c = coded[j]
+        smaller = (c & 1) == 1
+        j, c = j[smaller], c[smaller] >> 1
         if len(j):
-            dest, ps, cs, counts = _place(t[j], j, slot, -1)
+            dest, ps, cs, counts = _place(c, j, slot, -1)
             high = int(dest.max())
             if high >= begin and at - high - 1 <= _STUCK:
                 begin = max(0, at - walk)
@@ -107,11 +120,9 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
             if high >= begin:
                 size = max(8, at - high - 1)
                 begin = high + 1
-                s = sa[begin:at][::-1]
-                j = s[s > 0] - 1
-                j = j[small[j]]
+                j = j[: np.searchsorted(from_[smaller], at - begin)]
                 if len(j):
-                    dest, ps, cs, counts = _place(t[j], j, slot, -1)
+                    dest, ps, cs, counts = _place(c[: len(j)], j, slot, -1)
             if len(j):
                 sa[dest] = ps
                 slot[cs] -= counts
@@ -125,6 +136,8 @@ def _sort(t: np.ndarray, symbols: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1].copy()
+    if symbols < 1 << 15:
+        t = t.astype(np.uint16)  # small symbols are sorted by radix
     small = _smaller(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(t, minlength=symbols))
@@ -166,7 +179,7 @@ def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position (zeros after the end), as one integer; the first byte is lowest."""
     padded = np.zeros(len(text) + 8, np.uint8)
     padded[: len(text)] = text
-    return np.ndarray((len(text) + 1,), "<u8", padded.tobytes(), strides=(1,)).copy()
+    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,)).copy()
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -178,7 +191,7 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
     compare = np.ones(n, bool)

@@ -31,11 +31,12 @@ from veilspan.llm.suffixarray import _words, permuted_lcp, suffix_array
 
 LENGTH, GRAM = 50, 20
 #: Bytes: of a block's texts, of what is hashed at once, of a shard, and of what is sorted at once.
-BLOCK, PIECE, SHARD, CHUNK = 8 << 20, 1 << 20, 2 << 20, 4 << 20
+BLOCK, PIECE, SHARD, CHUNK = 6 << 20, 1 << 19, 3 << 19, 2 << 20
 #: Distinct anchors that one bucket of the exchange aims at; anchors are about one byte in fifteen.
 BUCKET, ANCHOR_BYTES = 2_000_000, 15
-#: Anchors in more blocks than this are resolved inside blocks first; groups of blocks above FAN blocks.
-HOT_BLOCKS, FAN = 8, 512
+#: Anchors in more blocks than this (or than half of all blocks) are resolved inside blocks first; groups of
+#: blocks above FAN blocks.
+HOT_BLOCKS, FAN = 64, 512
 
 _NULL_ID = 2**63 - 1
 
@@ -78,7 +79,10 @@ def find_anchors(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     edge = np.zeros(width - 1, np.uint32)
     most = slide(np.concatenate([edge, slide(order, np.minimum), edge]), np.maximum)
     at = np.flatnonzero((order == most) & valid)
-    return at, h[at]
+    # Anchors have small hashes; mixed again, all bits are even.
+    h = h[at] * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return at, h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _pieces(texts: list[bytes]):
@@ -137,8 +141,8 @@ def resolve(rows: np.ndarray, ids: np.ndarray, begins: np.ndarray, texts: list[b
         sizes = np.array([e - b for _, b, e in now], np.int64)
         flat = np.frombuffer(b"".join([texts[i][b:e] for i, b, e in now]), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        seg = np.repeat(np.arange(len(now)), sizes)
-        fits = starts[seg] + sizes[seg] - np.arange(len(flat)) >= LENGTH
+        seg = np.repeat(np.arange(len(now), dtype=np.int32), sizes)
+        fits = np.repeat(starts + sizes - LENGTH, sizes) >= np.arange(len(flat))
         sa = suffix_array(flat)
         long = permuted_lcp(flat, sa)[sa] >= LENGTH
         heads = np.flatnonzero(~long)
@@ -241,6 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(1, math.ceil(total / BLOCK))
     buckets = max(1, math.ceil(total / ANCHOR_BYTES / BUCKET))
     shards = max(8, math.ceil(total / 4 / SHARD))
+    busy = min(HOT_BLOCKS, blocks // 2)
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_k"),
@@ -299,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mine = np.flatnonzero(take[a:e]) + a
             if len(mine):
                 full = keys[mine].astype(np.int64) | np.int64(r["_b"]) << 32
-                out.append(_row(3, 0, r["_g"], 0, full, leader[group[mine]], (count[group[mine]] > HOT_BLOCKS).astype(np.int64), []))
+                out.append(_row(3, 0, r["_g"], 0, full, leader[group[mine]], (count[group[mine]] > busy).astype(np.int64), []))
         return _table(out)
 
     def cut_stretches(left, right):
@@ -333,23 +338,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = (lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         shard = (mixed % np.uint64(shards)).astype(np.int64)
         out = []
-        order = np.lexsort((k[d], warm, shard))
-        cuts = np.flatnonzero((np.diff(shard[order]) != 0) | (np.diff(warm[order]) != 0)) + 1
-        for part in np.split(order, cuts):
-            if not len(part):
-                continue
-            cut = [texts[i][b:e] for i, b, e in zip(d[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)]
-            r, ids, b = rows[d[part]], k[d[part]], begin[part]
-            hot = int(warm[part[0]])
-            if hot:
-                found, left_over = resolve(r, ids, b, cut, survivors=True)
-                out += _removed_rows(found, r, np.full(len(r), g, np.int64), shards)
-                no = np.array([i for i, _, _ in left_over], np.int64)
-                cut = [cut[i][x:y] for i, x, y in left_over]
-                b = b[no] + np.array([x for _, x, _ in left_over], np.int64)
-                r, ids = r[no], ids[no]
-            if len(cut):
-                out.append(_stretch_rows(shard[part[0]], hot, g, r, ids, b, cut))
+        cut = [texts[i][b:e] for i, b, e in zip(d.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        r, ids = rows[d], k[d]
+        hot = np.flatnonzero(warm)
+        if len(hot):
+            # One sort for all of the block's hot stretches; what is first among them goes on.
+            found, first = resolve(r[hot], ids[hot], begin[hot], [cut[i] for i in hot], survivors=True)
+            out += _removed_rows(found, r[hot], np.full(len(hot), g, np.int64), shards)
+            no = hot[np.array([i for i, _, _ in first], np.int64)]
+            cold = np.flatnonzero(warm == 0)
+            cut = [cut[i] for i in cold] + [cut[i][x:y] for i, (_, x, y) in zip(no.tolist(), first, strict=True)]
+            begin = np.concatenate([begin[cold], begin[no] + np.array([x for _, x, _ in first], np.int64)])
+            pick = np.concatenate([cold, no])
+            r, ids, shard, warm = r[pick], ids[pick], shard[pick], warm[pick]
+        order = np.lexsort((ids, warm, shard))
+        for part in np.split(order, np.flatnonzero((np.diff(shard[order]) != 0) | (np.diff(warm[order]) != 0)) + 1):
+            if len(part):
+                out.append(_stretch_rows(shard[part[0]], int(warm[part[0]]), g, r[part], ids[part], begin[part], [cut[i] for i in part]))
         return _table(out)
 
     def settle(final):
