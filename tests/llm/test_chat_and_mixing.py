@@ -89,7 +89,7 @@ def test_mix_meets_targets(spark, docs):
     order = sorted(size, key=lambda s: (s is None, s or ""))
     want = mixing.targets_of([size[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))])
     for s, t in zip(order, want, strict=True):
-        assert abs(goal[s] - t) < 1e-6 and abs(taken[s] - t) <= 160
+        assert abs(goal[s] - t) < 1e-6 and t - 30 <= taken[s] <= t
     assert sorted((r.doc_id or -1, len(r.copies)) for r in mixing.mix(docs, shards=5).collect()) == sorted((r.doc_id or -1, len(r.copies)) for r in out)
     whole = mixing.mixed_documents(docs, shards=5)
     assert whole.columns == docs.columns and whole.count() == sum(len(r.copies) for r in out)

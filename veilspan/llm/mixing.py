@@ -24,6 +24,8 @@ from veilspan.llm.common import stage_table, words_of
 
 #: Hash blocks of each source.
 BLOCKS = 1024
+#: Rows after the cut from which the largest that fit are taken; they bring a source nearer to its target.
+FILL = 256
 #: Sources beyond this are refused: their totals and shares are held by the driver.
 MAX_SOURCES = 10_000
 #: A document is taken at most this often.
@@ -77,8 +79,9 @@ def _keys(id_col: Column, text: Column, source: Column, seed: int) -> tuple[Colu
 def plan_mix(base: DataFrame, shards: int, seed: int, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """One row per (source, block): source_size, target, and how the block is drawn.
 
-    ``base`` has (_source, _size, _hash, _block). A block is drawn ``_full`` times whole, and once more
-    up to ``_until`` (null: not; rows with a hash up to it are taken). ``_shards`` lists the shard of each draw.
+    ``base`` has (_source, _size, _hash, _block). A block is drawn ``_full`` times whole, and once more in
+    part: rows with a hash up to ``_until`` (null: none) and those in ``_more``. ``_shards`` lists the shard
+    of each draw.
     """
     spark = base.sparkSession
     totals = base.groupBy("_source").agg(F.sum("_size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -91,24 +94,41 @@ def plan_mix(base: DataFrame, shards: int, seed: int, weights=WEIGHTS, most: int
     rows = [(r[0], s, t, p, max(0.0, t - p * s)) for r, s, t, p in zip(totals, sizes, wanted, passes, strict=True)]
     aims = spark.createDataFrame(rows, T.StructType([T.StructField("_s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_full", T.IntegerType()), T.StructField("_rest", T.DoubleType())]))
 
-    blocks = base.groupBy("_source", "_block").agg(F.sum("_size").alias("_words"))
+    blocks = base.groupBy("_source", "_block").agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_rows"))
     order = W.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), F.col("_block")), "_block")
     blocks = blocks.join(F.broadcast(aims), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     blocks = blocks.withColumn("_pos", F.row_number().over(order) - 1)
-    blocks = blocks.withColumn("_before", F.sum("_words").over(order) - F.col("_words"))
+    blocks = blocks.withColumn("_before", F.sum("_words").over(order) - F.col("_words")).withColumn("_rows_before", F.sum("_rows").over(order) - F.col("_rows"))
     blocks = blocks.withColumn("_present", F.count(F.lit(1)).over(W.partitionBy("_source")))
-    blocks = blocks.withColumn("_part", F.col("_before") < F.col("_rest"))
     blocks = stage_table(blocks, "mix-blocks")
 
-    # The block that the target cuts: the hash up to which its rows come nearest to the rest.
-    cut = blocks.where(F.col("_part") & (F.col("_before") + F.col("_words") > F.col("_rest"))).select(F.col("_source").alias("_cs"), F.col("_block").alias("_cb"), (F.col("_rest") - F.col("_before")).alias("_room"))
-    inside = base.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_block") == F.col("_cb")))
-    inside = inside.groupBy("_cs", "_cb", "_room", "_hash").agg(F.sum("_size").alias("_w"))
-    so_far = F.sum("_w").over(W.partitionBy("_cs", "_cb").orderBy("_hash").rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.withColumn("_near", so_far - F.col("_w") / 2 <= F.col("_room"))
-    until = inside.groupBy("_cs", "_cb").agg(F.coalesce(F.max(F.when(F.col("_near"), F.col("_hash"))), F.lit(-(2**63)).cast("long")).alias("_cut"))
-    blocks = blocks.join(F.broadcast(until), F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_block") == F.col("_cb")), "left").drop("_cs", "_cb")
-    blocks = blocks.withColumn("_until", F.when(F.col("_part"), F.coalesce("_cut", F.lit(2**63 - 1))))
+    # Around the place where the target cuts the blocks: whole blocks before it, then rows in order of their
+    # hashes while they fit, then of the next FILL rows the largest that still fit.
+    cut = blocks.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
+    cut = cut.select(F.col("_source").alias("_cs"), F.col("_pos").alias("_cp"), F.col("_rows_before").alias("_cr"), F.col("_rows").alias("_cn"), (F.col("_rest") - F.col("_before")).alias("_room"))
+    zone = blocks.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_cs"))).where((F.col("_pos") >= F.col("_cp")) & (F.col("_rows_before") < F.col("_cr") + F.col("_cn") + FILL))
+    zone = zone.select(F.col("_source").alias("_zs"), F.col("_block").alias("_zb"), F.col("_pos").alias("_zp"), "_room")
+    inside = base.join(zone, F.col("_source").eqNullSafe(F.col("_zs")) & (F.col("_block") == F.col("_zb")))
+    inside = inside.groupBy("_zs", "_zp", "_room", "_hash").agg(F.sum("_size").alias("_w"))
+    line = W.partitionBy("_zs").orderBy("_zp", "_hash")
+    inside = inside.withColumn("_sum", F.sum("_w").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    inside = inside.withColumn("_fits", F.col("_sum") <= F.col("_room")).withColumn("_n", F.sum(F.when(F.col("_fits"), 0).otherwise(1)).over(line))
+    pool = F.collect_list(F.when(~F.col("_fits") & (F.col("_n") <= FILL) & (F.col("_w") <= F.col("_room")), F.struct((-F.col("_w")).alias("w"), F.col("_hash").alias("h"), F.col("_zp").alias("p"))))
+    ends = inside.groupBy("_zs", "_room").agg(F.coalesce(F.max(F.when(F.col("_fits"), F.col("_sum"))), F.lit(0)).alias("_got"), F.max(F.when(F.col("_fits"), F.struct("_zp", "_hash"))).alias("_last"), F.sort_array(pool).alias("_pool"))
+    nothing = F.struct((F.col("_room") - F.col("_got")).cast("double").alias("gap"), F.array().cast("array<struct<h:bigint,p:int>>").alias("out"))
+    fill = F.aggregate(
+        "_pool", nothing,
+        lambda a, x: F.when(-x["w"] <= a["gap"], F.struct((a["gap"] + x["w"]).cast("double").alias("gap"), F.concat(a["out"], F.array(F.struct(x["h"].alias("h"), x["p"].cast("int").alias("p")))).alias("out"))).otherwise(a),
+    )["out"]
+    ends = stage_table(ends.select(F.col("_zs").alias("_es"), F.col("_last._hash").alias("_lh"), F.col("_last._zp").alias("_lp"), fill.alias("_fill")), "mix-cut")
+    blocks = blocks.join(F.broadcast(cut.select("_cs", "_cp")), F.col("_source").eqNullSafe(F.col("_cs")), "left").join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("_es")), "left")
+    more = F.coalesce(F.transform(F.filter("_fill", lambda x: x["p"] == F.col("_pos")), lambda x: x["h"]), F.array().cast("array<bigint>"))
+    whole = (F.col("_rest") > 0) & F.coalesce(F.col("_pos") < F.col("_cp"), F.col("_before") < F.col("_rest"))
+    # Rows fit in order, so the last that fits can only lie in the block that the target cuts.
+    until = F.when(whole, F.lit(2**63 - 1)).when(F.col("_lp") == F.col("_pos"), F.col("_lh"))
+    blocks = blocks.withColumn("_until", until).withColumn("_more", more).withColumn("_part", F.col("_until").isNotNull() | (F.size("_more") > 0))
+    blocks = blocks.withColumn("_nth", F.sum(F.col("_part").cast("int")).over(order) - 1)
+    blocks = blocks.drop("_cs", "_cp", "_es", "_lh", "_lp", "_fill")
 
     draws = {r[0]: int(r[1]) for r in blocks.groupBy("_source").agg(F.sum(F.col("_full") + F.col("_part").cast("int"))).collect()}
     leaves = split_quotas([draws.get(r[0], 0) for r in totals], shards, seed)
@@ -116,9 +136,11 @@ def plan_mix(base: DataFrame, shards: int, seed: int, weights=WEIGHTS, most: int
     ranges = spark.createDataFrame(bounds, T.StructType([T.StructField("_rs", T.StringType()), T.StructField("_ends", T.ArrayType(T.LongType()))]))
     blocks = blocks.join(F.broadcast(ranges), F.col("_source").eqNullSafe(F.col("_rs")))
     copies = F.col("_full") + F.col("_part").cast("int")
-    shard = lambda e: F.size(F.filter("_ends", lambda end: end <= e * F.col("_present") + F.col("_pos")))
+    # Draws of a source are counted pass by pass; the last pass has the blocks that are drawn in part.
+    draw = lambda e: e * F.col("_present") + F.when(e < F.col("_full"), F.col("_pos")).otherwise(F.col("_nth"))
+    shard = lambda e: F.size(F.filter("_ends", lambda end: end <= draw(e)))
     lists = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return blocks.select(F.col("_source").alias("_ps"), F.col("_block").alias("_pb"), "source_size", "target", "_full", "_until", lists.alias("_shards"))
+    return blocks.select(F.col("_source").alias("_ps"), F.col("_block").alias("_pb"), "source_size", "target", "_full", "_until", "_more", lists.alias("_shards"))
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights=WEIGHTS, most: int = MAX_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
@@ -140,7 +162,8 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights=WEIGHTS, most
     else:
         rows = base
     rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb")))
-    n = F.col("_full") + F.when(F.col("_until").isNotNull() & (F.col("_hash") <= F.col("_until")), 1).otherwise(0)
+    once_more = F.coalesce(F.col("_hash") <= F.col("_until"), F.lit(False)) | F.array_contains("_more", F.col("_hash"))
+    n = F.col("_full") + F.when(once_more, 1).otherwise(0)
     copies = F.transform(F.slice("_shards", F.lit(1), n), lambda s, e: F.struct(e.cast("int").alias("pass"), s.cast("int").alias("shard"), F.xxhash64(F.col("_hash"), e).alias("place")))
     return rows.select("_row" if carry else F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
