@@ -20,7 +20,7 @@ import regex
 NONE = np.int32(2**31 - 1)
 
 #: Bound of a worker's cache: entries, and characters of the longest word it keeps.
-CACHE_ENTRIES, CACHE_WORD = 250_000, 256
+CACHE_ENTRIES, CACHE_WORD = 120_000, 256
 
 #: Characters of text that are split before their unknown words are merged together.
 BATCH_CHARS = 1_000_000

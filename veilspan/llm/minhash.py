@@ -28,7 +28,7 @@ from veilspan.llm.components import components
 #: Chance that two documents just at the threshold share no band.
 MISS = 1e-7
 #: Words whose hashes a worker remembers.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = stage_table(_links(_prefix_pairs(open_, sets, percent), sets, percent), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
-        drop_table(sets)
+        # Labels are a written table of their own by now; what led to them can go.
+        for done in (sets, open_, members):
+            drop_table(done)
 
     worded = signed.where(F.col("_n") > 0).select("_id", "_n", "_set").join(of_set, F.col("_set") == F.col("_s")).select("_id", "_n", "_rep")
     if labels is not None:
