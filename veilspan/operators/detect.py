@@ -22,7 +22,8 @@ class Rule:
 
     ``prefix`` is matched but not part of the span, and so is ``suffix``. ``langs`` limits the rule to texts
     of those languages (None: all). ``check`` is a column predicate over the span's text. ``trim`` shortens
-    the span's text from the right.
+    the span's text from the right. ``needs`` is a string that every match holds: texts without it are passed
+    over by a byte search instead of the pattern.
     """
 
     name: str
@@ -36,13 +37,14 @@ class Rule:
     check: Callable[[Column], Column] | None = None
     trim: Callable[[Column], Column] | None = None
     own: bool = False
+    needs: str = ""
 
     @property
     def whole(self) -> str:
         return f"({self.prefix})({self.pattern})({self.suffix})" if self.prefix or self.suffix else self.pattern
 
     def spans(self, text: Column) -> Column:
-        found = S.matches(text, self.whole)
+        found = S.matches(F.when(F.contains(text, F.lit(self.needs)), text) if self.needs else text, self.whole)
         grouped = bool(self.prefix or self.suffix)
 
         def one(x):
@@ -60,10 +62,10 @@ class Rule:
 
 #: Detectors of common shapes. Scores are this library's own constants.
 COMMON: tuple[Rule, ...] = (
-    Rule("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
+    Rule("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs="@"),
     Rule("card", "CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}", 1.0, check=S.luhn_ok),
     Rule("ip", "IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.6, check=S.octets_ok),
-    Rule("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75),
+    Rule("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75, needs="+"),
     Rule("ssn", "US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5),
     Rule("iban", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", 1.0, check=S.iban_ok),
     Rule("nhs", "UK_NHS", r"[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", 1.0, check=S.nhs_ok),
@@ -81,7 +83,7 @@ def custom_rule(entity_type: str, pattern: str, score: float = 0.9, value: tuple
     return Rule(f"custom:{entity_type}", entity_type, f"(?iu:{fold(pattern)})", score, "custom", own=True)
 
 
-TOKEN_RULE = Rule("token", "SECRET", r"[0-9a-f]{40}", 0.9, "custom", prefix=r'token = "', suffix='"', own=True)
+TOKEN_RULE = Rule("token", "SECRET", r"[0-9a-f]{40}", 0.9, "custom", prefix=r'token = "', suffix='"', own=True, needs='token = "')
 
 
 def detect_column(text: Column, rules: Iterable[Rule] = COMMON, lang: Column | None = None) -> Column:

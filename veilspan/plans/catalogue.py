@@ -28,10 +28,10 @@ ORACLE_SQL: dict[str, str] = {}
 EMAIL, CARD, IP, PHONE = (D.BY_NAME[n] for n in ("email", "card", "ip", "phone"))
 BASIC = (EMAIL, CARD, IP, PHONE, D.TOKEN_RULE)
 # Detectors that overlap the basic ones, so that merging has something to decide.
-HOST = D.Rule("host", "HOST", r"mail[0-9]+\.example\.com", 0.9, "hosts")
+HOST = D.Rule("host", "HOST", r"mail[0-9]+\.example\.com", 0.9, "hosts", needs="mail")
 DIGITS = D.Rule("digits", "NUMBER", r"[0-9]{6,}", 0.4, "numbers")
-ASSIGN = D.Rule("assign", "ASSIGNMENT", r'token = "[0-9a-f]*"?', 0.95, "assignments")
-WIDE = D.Rule("wide", "CONTACT", r"[a-z.]+@mail[0-9]+", 0.95, "contacts")
+ASSIGN = D.Rule("assign", "ASSIGNMENT", r'token = "[0-9a-f]*"?', 0.95, "assignments", needs="token")
+WIDE = D.Rule("wide", "CONTACT", r"[a-z.]+@mail[0-9]+", 0.95, "contacts", needs="@mail")
 OVERLAPPING = (*BASIC, HOST, DIGITS, ASSIGN, WIDE)
 
 
@@ -46,8 +46,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder. A file of one row group is one task, and patterns are the costly part of
+    a query, so a table of fewer files than cores is dealt out first; larger tables are read as they lie."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def _shown(rows: DataFrame, *extra: str) -> DataFrame:
