@@ -20,6 +20,8 @@ MIN_SITES = 10
 LG_K = 10
 #: Half width of the band around the threshold, in standard errors of the sketch.
 BAND_SIGMAS = 6.0
+#: Parts that each line hash is dealt into where lines meet the few hashes that matter.
+SALTS = 32
 #: A document of which more than this share (percent of its line characters) is boilerplate is a copy of
 #: other documents, not a page with boilerplate; it is left whole for document dedup.
 MAX_SHARE = 50
@@ -40,10 +42,18 @@ def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Da
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _site(F.col(site_col)).alias("_site"), F.explode(lines).alias("_h"))
 
 
+def _lines_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of ``lines`` (_id, _h, ...) whose hash is in ``hashes`` (_h). A line that very many documents hold
+    is dealt into SALTS parts by document; the few hashes are repeated instead."""
+    wanted = hashes.select(F.col("_h").alias("_wh"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ws"))
+    part = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    return lines.join(wanted, (F.col("_h") == F.col("_wh")) & (part == F.col("_ws")), "left_semi")
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(_h): hashes of the lines seen on ``min_sites`` distinct sites or more.
 
-    ``lines`` has (_h, _site). The sketch decides outside the band; inside it the distinct (line, site) pairs
+    ``lines`` has (_id, _site, _h). The sketch decides outside the band; inside it the distinct (line, site) pairs
     of the near lines are counted. The band is BAND_SIGMAS standard errors wide on each side.
     """
     error = BAND_SIGMAS * 1.04 / math.sqrt(1 << lg_k)
@@ -51,8 +61,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     spread = lines.groupBy("_h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(lg_k))).alias("_est"))
     spread = spread.where(F.col("_est") >= low)
     sure = spread.where(F.col("_est") > high).select("_h")
-    near = spread.where(F.col("_est") <= high).select(F.col("_h").alias("_nh"))
-    pairs = lines.select("_h", "_site").join(near, F.col("_h") == F.col("_nh"), "left_semi").groupBy("_h", "_site").agg(F.count(F.lit(1)).alias("_c"))
+    near = spread.where(F.col("_est") <= high).select("_h")
+    pairs = _lines_of(lines, near).groupBy("_h", "_site").agg(F.count(F.lit(1)).alias("_c"))
     exact = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_sites")).where(F.col("_sites") >= min_sites).select("_h")
     return sure.unionByName(exact)
 
@@ -76,8 +86,7 @@ def dedup_lines(
     names = docs.columns
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{site_col}`").alias("_source"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("none")]).alias("_row"))
     lines = site_lines(packed, "_id", "_text", "_source")
-    bad = boilerplate_lines(lines, min_sites, lg_k).select(F.col("_h").alias("_bh"))
-    hits = lines.select("_id", "_h").join(bad, F.col("_h") == F.col("_bh"), "left_semi")
+    hits = _lines_of(lines.select("_id", "_h"), boilerplate_lines(lines, min_sites, lg_k))
     per_doc = hits.groupBy(F.col("_id").alias("_did")).agg(F.collect_set("_h").alias("_bad"))
     joined = packed.join(per_doc, F.col("_id").eqNullSafe(F.col("_did")), "left")
     split = joined.withColumn("_lines", F.transform(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(BLANKS)).alias("t"))))
