@@ -96,7 +96,22 @@ def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("image_id", "vec_id")
 
 
-@query("op6_chat_formatting")
+_GUARD = r"␛|<\||<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+
+
+@query(
+    "op6_chat_formatting",
+    rf"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(24 + length(role) + length(text) + len(regexp_extract_all(role, '{_GUARD}')) + length(role) - length(replace(role, chr(10), ''))
+               + len(regexp_extract_all(text, '{_GUARD}')))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
