@@ -202,3 +202,29 @@ def test_known_values_spread_forward_only(spark):
     rows = D.span_rows(D.detect(texts, X.SECRET_RULES), ["request", "ordinal"])
     out = P.copies_of_known(texts, P.known_values(rows, "request", "ordinal"), "request", "ordinal").collect()
     assert sorted((r.ordinal, r.start, r.end) for r in out) == [(1, 9, 17), (2, 1, 9), (2, 21, 29)]
+
+
+def test_queries_read_whole_documents(spark, tmp_path):
+    """Values deep in a long text are found beside those the queries plant, and known ones in later texts."""
+    from veilspan.plans.catalogue import QUERIES
+
+    own, mail = "pw9x8y7zq", "help@example.org"
+    filler = "plain words of a long document. " * 300
+    texts = {1: f"{filler}\npassword={own}\n{filler}", 2: f"{filler}({own}) x{own} {filler}{own}", 3: f'{filler}\nCONTACT_MAIL="{mail}"\n', 4: None}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = lambda x: __import__("hashlib").md5(str(x).encode()).hexdigest()
+    places = lambda i, head, word: [len(head) + 1 + m.start() for m in re.finditer(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", texts[i] or "")]
+
+    head = lambda i: f'my api_key = "sk-{md5(i)}" postgres://userxxxxxxxx{i}:p{i}w9@db.example.com/app'
+    want = {(i, "sk-" + md5(i), 14) for i in texts} | {(i, f"p{i}w9", 76) for i in texts} | {(1, own, a) for a in places(1, head(1), own)}
+    assert {tuple(r) for r in QUERIES["secret_rules"](spark, str(tmp_path)).collect()} == want
+
+    value = md5("s")[:12] + "x7"
+    heads = {i: f"api_key={value}" if i == 1 else f"then {value}, or z{value}" for i in texts}
+    want = {(i, value, 8 if i == 1 else 5) for i in texts} | {(i, own, a) for i in (1, 2) for a in places(i, heads[i], own)}
+    got = QUERIES["known_value_propagation"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text, r.span_start) for r in got} == want and all(r.span_end == r.span_start + len(r.text) for r in got)
+
+    heads = {i: f'CONTACT_MAIL="a{i}@example.com"\nnext' for i in texts}
+    want = {(i, f"a{i}@example.com", 14) for i in texts} | {(3, mail, a) for a in places(3, heads[3], mail)}
+    assert {(r.doc_id, r.text, r.span_start) for r in QUERIES["refine_spans"](spark, str(tmp_path)).collect()} == want

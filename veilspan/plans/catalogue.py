@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.operators import anonymize as A
@@ -327,6 +327,11 @@ def leak_audit(spark, sf_dir):
     return met.groupBy(F.col("request").alias("source"), "original").agg(F.sum(F.contains("anonymized", F.col("original")).cast("long")).alias("leaks"))
 
 
+def _planted(value) -> Column:
+    """A made string in front of the document's own whole text."""
+    return F.concat(value, F.lit("\n"), F.coalesce("text", F.lit("")))
+
+
 _ENV = "'api_key=' || substr(md5(source), 1, 12) || 'x7'"
 _BARE = "'then ' || substr(md5(source), 1, 12) || 'x7, or z' || substr(md5(source), 1, 12) || 'x7'"
 
@@ -339,12 +344,12 @@ _BARE = "'then ' || substr(md5(source), 1, 12) || 'x7, or z' || substr(md5(sourc
            CASE WHEN doc_id = since THEN 22 ELSE 19 END AS span_end FROM t WHERE regexp_matches(substr(md5(source), 1, 12) || 'x7', '[0-9]')""",
 )
 def known_value_propagation(spark, sf_dir):
-    """Each source's first text assigns a credential; later texts repeat it bare, once alone and once inside a word."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"))
+    """Each source's first text also assigns a credential; later texts repeat it bare, once alone and once inside a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
     first = docs.groupBy(F.col("request").alias("_r")).agg(F.min("doc_id").alias("_since"))
     value = F.concat(F.substring(F.md5(F.col("request").cast("binary")), 1, 12), F.lit("x7"))
     text = F.when(F.col("doc_id") == F.col("_since"), F.concat(F.lit("api_key="), value)).otherwise(F.concat(F.lit("then "), value, F.lit(", or z"), value))
-    texts = docs.join(first, F.col("request") == F.col("_r")).select("doc_id", "request", text.alias("text"))
+    texts = docs.join(first, F.col("request") == F.col("_r")).select("doc_id", "request", _planted(text).alias("text"))
     rows = D.span_rows(D.detect(texts, X.SECRET_RULES), ["request", "doc_id"])
     known = P.known_values(rows, "request", "doc_id")
     out = P.copies_of_known(texts, known, "request", "doc_id")
@@ -393,11 +398,11 @@ def page_secrets(spark, sf_dir):
 
 @query("secret_rules", "SELECT doc_id, 'sk-' || md5(doc_id::VARCHAR) AS text, 14 AS span_start FROM documents UNION ALL SELECT doc_id, 'p' || doc_id || 'w9', 75 + length(doc_id::VARCHAR) FROM documents")
 def secret_rules(spark, sf_dir):
-    """Two credentials written into each document's place: an assignment and a URI password."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    """Each document's own credentials and two written in front of it: an assignment and a URI password."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = F.concat(F.lit("sk-"), F.md5(F.col("doc_id").cast("string").cast("binary")))
     text = F.concat(F.lit('my api_key = "'), key, F.lit('" '), F.lit("postgres://user"), F.lit("x" * 8), F.col("doc_id").cast("string"), F.lit(":p"), F.col("doc_id").cast("string"), F.lit("w9@db.example.com/app"))
-    rows = D.span_rows(D.detect(docs.withColumn("text", text), X.SECRET_RULES), ["doc_id"])
+    rows = D.span_rows(D.detect(docs.withColumn("text", _planted(text)), X.SECRET_RULES), ["doc_id"])
     return rows.select("doc_id", "text", F.col("start").alias("span_start")).distinct()
 
 
@@ -513,10 +518,10 @@ def gateway_rules(spark, sf_dir):
 
 @query("refine_spans", "SELECT doc_id, 'a' || doc_id || '@example.com' AS text, 14 AS span_start, 14 + length('a' || doc_id || '@example.com') AS span_end FROM documents")
 def refine_spans(spark, sf_dir):
-    """A padded detection of an assigned, quoted address is fitted to the address."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    """A padded detection of an assigned, quoted address is fitted to the address, in front of the document and in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     value = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("@example.com"))
-    docs = docs.withColumn("text", F.concat(F.lit('SUPPORT_EMAIL="'.replace("SUPPORT_EMAIL", "CONTACT_MAIL")), value, F.lit('"\nnext')))
+    docs = docs.withColumn("text", _planted(F.concat(F.lit('SUPPORT_EMAIL="'.replace("SUPPORT_EMAIL", "CONTACT_MAIL")), value, F.lit('"\nnext'))))
     rule = D.Rule("padded", "EMAIL_ADDRESS", r'CONTACT_MAIL="[^"]*"', 0.9, "model")
     docs = D.detect(docs, [rule])
     rows = D.span_rows(docs.withColumn("spans", E.refine(F.col("text"), F.col("spans"))), ["doc_id"])
