@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    out = dedup_lines(docs)
+    """Documents without cross-site boilerplate lines but for the first of each; n_chars follows the text."""
+    out = dedup_lines(docs, keep_first=True)
     cut = F.col("_n_cut") > 0
     cols = [F.when(cut, F.length("text")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)

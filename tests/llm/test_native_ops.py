@@ -128,3 +128,29 @@ def test_line_dedup(spark):
         assert Counter((x.doc_id, x.text, x._n_boiler) for x in out) == expected_lines(rows, sites, 50)
     empty = linededup.dedup_lines(frame(spark, rows).where("false"))
     assert empty.count() == 0 and math.isclose(1, 1)
+
+
+def test_pipeline_cuts_pages_of_mostly_boilerplate(spark):
+    import corpus_pipeline
+
+    nav = [f"navigation entry number {k}" for k in range(8)]
+    passage = [f"line {k} of a passage that was copied" for k in range(6)]
+    rows = [(i, "\n".join([*nav, f"own {i}"]), f"site{i}") for i in range(14)]
+    rows += [(100 + i, "\n".join([*passage, f"copy {i}"]), f"site{i}") for i in range(12)]
+    rows += [(200 + i, "\n".join(passage), f"site{i}") for i in range(3)] + [(300, None, "a"), (301, "", "a"), (None, "\n".join([nav[0], "no id"]), None)]
+    r = random.Random(9)
+    rows += [(1000 + i, "\n".join(r.sample(nav, r.randrange(9)) + [f"text {r.random()}"] * r.randrange(2)), f"site{r.randrange(30)}") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars int")
+    sites, first = defaultdict(set), {}
+    for i, t, s in rows:
+        for x in filter(None, (t or "").split("\n")):
+            sites[x].add(s)
+            first[x] = min(first.get(x, 10**9), 10**9 if i is None else i)
+    want = Counter()
+    for i, t, _ in rows:
+        left = [x for x in (t or "").split("\n") if len(sites[x]) < 10 or first[x] == i or not x]
+        text = "\n".join(left) if any(left) else t
+        want[(i, text, len(text or ""))] += 1
+    got = Counter((x.doc_id, x.text, x.n_chars) for x in corpus_pipeline.line_dedup(spark, docs, "").collect())
+    assert got == want and got[(0, "\n".join([*nav, "own 0"]), len("\n".join([*nav, "own 0"])))] == 1
+    assert got[(5, "own 5", 5)] == 1 and got[(105, "copy 5", 6)] == 1 and got[(201, "\n".join(passage), len("\n".join(passage)))] == 1

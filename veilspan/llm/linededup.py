@@ -43,27 +43,30 @@ def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Da
 
 
 def _lines_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows of ``lines`` (_id, _h, ...) whose hash is in ``hashes`` (_h). A line that very many documents hold
+    """Rows of ``lines`` (_id, _h, ...) whose hash is in ``hashes`` (_h, unique), with its other columns. A line that very many documents hold
     is dealt into SALTS parts by document; the few hashes are repeated instead."""
-    wanted = hashes.select(F.col("_h").alias("_wh"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ws"))
+    more = [c for c in hashes.columns if c != "_h"]
+    wanted = hashes.select(F.col("_h").alias("_wh"), *more, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ws"))
     part = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    return lines.join(wanted, (F.col("_h") == F.col("_wh")) & (part == F.col("_ws")), "left_semi")
+    return lines.join(wanted, (F.col("_h") == F.col("_wh")) & (part == F.col("_ws")), "inner" if more else "left_semi").drop("_wh", "_ws")
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(_h): hashes of the lines seen on ``min_sites`` distinct sites or more.
+def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, first: bool = False) -> DataFrame:
+    """(_h): hashes of the lines seen on ``min_sites`` distinct sites or more; with ``first`` also _first, the
+    smallest id that holds the line.
 
     ``lines`` has (_id, _site, _h). The sketch decides outside the band; inside it the distinct (line, site) pairs
     of the near lines are counted. The band is BAND_SIGMAS standard errors wide on each side.
     """
     error = BAND_SIGMAS * 1.04 / math.sqrt(1 << lg_k)
     low, high = min_sites / (1 + error) - 0.5, min_sites * (1 + error) + 0.5
-    spread = lines.groupBy("_h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(lg_k))).alias("_est"))
+    names = ["_h", "_first"] if first else ["_h"]
+    spread = lines.groupBy("_h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(lg_k))).alias("_est"), *[F.min("_id").alias("_first")] * first)
     spread = spread.where(F.col("_est") >= low)
-    sure = spread.where(F.col("_est") > high).select("_h")
+    sure = spread.where(F.col("_est") > high).select(*names)
     near = spread.where(F.col("_est") <= high).select("_h")
-    pairs = _lines_of(lines, near).groupBy("_h", "_site").agg(F.count(F.lit(1)).alias("_c"))
-    exact = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_sites")).where(F.col("_sites") >= min_sites).select("_h")
+    pairs = _lines_of(lines, near).groupBy("_h", "_site").agg(F.count(F.lit(1)).alias("_c"), *[F.min("_id").alias("_first")] * first)
+    exact = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_sites"), *[F.min("_first").alias("_first")] * first).where(F.col("_sites") >= min_sites).select(*names)
     return sure.unionByName(exact)
 
 
@@ -75,6 +78,7 @@ def dedup_lines(
     text_col: str = "text",
     site_col: str = "source",
     lg_k: int = LG_K,
+    keep_first: bool = False,
 ) -> DataFrame:
     """The columns of ``docs`` with boilerplate lines cut from the text, then ``_n_lines, _n_boiler, _n_cut``.
 
@@ -82,11 +86,18 @@ def dedup_lines(
     counted or cut. A null text stays null, an empty one empty, and both count 0 lines. Rows that share an id
     are cut by the same global set of lines, each on its own text; a null id is an id. Every occurrence of a
     boilerplate line goes, unless the document is mostly boilerplate (see MAX_SHARE).
+
+    With ``keep_first`` a line stays in the document of the smallest id that holds it, and its other
+    occurrences go from every document that keeps some text, however much goes; ``max_share`` is not used.
+    Copies don't erase each other then, since each line stays somewhere; a document of which nothing would
+    stay is left whole for document dedup. ``_n_boiler`` counts the lines that could go.
     """
     names = docs.columns
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{site_col}`").alias("_source"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("none")]).alias("_row"))
     lines = site_lines(packed, "_id", "_text", "_source")
-    hits = _lines_of(lines.select("_id", "_h"), boilerplate_lines(lines, min_sites, lg_k))
+    hits = _lines_of(lines.select("_id", "_h"), boilerplate_lines(lines, min_sites, lg_k, keep_first))
+    if keep_first:
+        hits = hits.where(~F.col("_id").eqNullSafe(F.col("_first")))
     per_doc = hits.groupBy(F.col("_id").alias("_did")).agg(F.collect_set("_h").alias("_bad"))
     joined = packed.join(per_doc, F.col("_id").eqNullSafe(F.col("_did")), "left")
     split = joined.withColumn("_lines", F.transform(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(BLANKS)).alias("t"))))
@@ -94,7 +105,8 @@ def dedup_lines(
     total = lambda keep: F.aggregate(F.filter("_tagged", keep), F.lit(0).cast("long"), lambda a, e: a + e["n"])
     count = F.size(F.filter("_tagged", lambda e: e["b"])).cast("long")
     out = tagged.withColumn("_n_boiler", F.when(F.col("_tagged").isNull(), F.lit(0).cast("long")).otherwise(count))
-    out = out.withColumn("_cut", (F.col("_n_boiler") > 0) & (100 * total(lambda e: e["b"]) <= max_share * total(lambda e: e["n"] > 0)))
+    going, whole = total(lambda e: e["b"]), total(lambda e: e["n"] > 0)
+    out = out.withColumn("_cut", (F.col("_n_boiler") > 0) & (going < whole if keep_first else 100 * going <= max_share * whole))
     kept = F.array_join(F.transform(F.filter("_tagged", lambda e: ~e["b"]), lambda e: e["x"]), "\n")
     out = out.withColumn("_new", F.when(F.col("_cut"), kept).otherwise(F.col("_text")))
     out = out.withColumn("_n_lines", F.size(F.filter("_lines", lambda e: e["t"] != "")).cast("long"))
