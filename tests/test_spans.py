@@ -228,3 +228,13 @@ def test_queries_read_whole_documents(spark, tmp_path):
     heads = {i: f'CONTACT_MAIL="a{i}@example.com"\nnext' for i in texts}
     want = {(i, f"a{i}@example.com", 14) for i in texts} | {(3, mail, a) for a in places(3, heads[3], mail)}
     assert {(r.doc_id, r.text, r.span_start) for r in QUERIES["refine_spans"](spark, str(tmp_path)).collect()} == want
+
+
+def test_fuzzy_restore_returns_every_document(spark, tmp_path):
+    """A near miss in a text without a span of its own is replaced by the source's map."""
+    from veilspan.plans.catalogue import QUERIES
+
+    rows = [(1, "mail ann@example.com", "s"), (2, "see (EMAIL_ADDRESS_1) here", "s"), (3, "nothing", "s"), (4, "no map (EMAIL_ADDRESS_1)", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.restored for r in QUERIES["restore_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got == {1: "mail (ann@example.com)", 2: "see (ann@example.com) here", 3: "nothing", 4: "no map (EMAIL_ADDRESS_1)"}

@@ -271,7 +271,7 @@ def restore_fuzzy(spark, sf_dir):
     """Placeholders retyped with a space are found again by similarity."""
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
     rows = _sourced(spark, sf_dir, BASIC)
-    out = A.anonymize(texts, rows, "request", "doc_id", A.Policy()).where("n_spans > 0").withColumn("anonymized", F.regexp_replace("anonymized", r"<(EMAIL_ADDRESS_[0-9]+)>", "($1)"))
+    out = A.anonymize(texts, rows, "request", "doc_id", A.Policy()).withColumn("anonymized", F.regexp_replace("anonymized", r"<(EMAIL_ADDRESS_[0-9]+)>", "($1)"))
     mapping = A.mapping_table(rows, "request", "doc_id", A.Policy())
     return R.restore_fuzzy_df(out, mapping, "request", "anonymized").select("doc_id", "restored")
 
