@@ -87,7 +87,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jump_sharding")
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(read_table(spark, sf_dir, "documents"), 40, grow_to=41)
-    return out.withColumn("law", F.lit("key"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 @query("op2_media_copies")
@@ -136,7 +136,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mixing")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
+    shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"), shards.alias("shards"))
 
 
 @query("op8_near_duplicates")
