@@ -78,6 +78,25 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert minhash.near_duplicates(df.where("false")).count() == 0 and minhash.one_of_each(df.where("false")).count() == 0
 
 
+def test_one_of_each_keeps_all_columns(spark):
+    rows = [(1, "a b c d e f g", 1, "p", None), (2, "a b c d e f g", 2, "q", 7), (3, "other words than these are in here", 3, "r", 9), (3, "a text of its own under the same id", 4, "s", 9), (None, None, 5, None, 1)]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("_rank", T.IntegerType()), T.StructField("_kid", T.StringType()), T.StructField("_kn", T.IntegerType())])
+    df = spark.createDataFrame(rows, schema)
+    out = minhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = {tuple(r) for r in out.collect()}
+    assert {rows[0], rows[4]} <= got <= set(rows) - {rows[1]} and len(got) == 3
+
+
+def test_many_partners_of_one_head(spark, monkeypatch):
+    """A star larger than one piece of comparisons."""
+    monkeypatch.setattr(minhash, "HEAD_PAIRS", 3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(40)] + [(100 + i, " ".join([f"v{i}_{j}" for j in range(20)])) for i in range(5)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute(rows, 5, 80)
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(1)
     x = np.unique(r.integers(0, 2**64, 3000, dtype=np.uint64))

@@ -1,6 +1,5 @@
 """Line dedup, quality rules and sharding against plain Python."""
 
-import math
 import random
 from collections import Counter, defaultdict
 
@@ -124,10 +123,26 @@ def test_line_dedup(spark):
         r.shuffle(ls)
         rows.append((i % 390, "\n".join(ls), f"site{r.randrange(30) if i % 3 else 0}"))
     for sites in (3, 10, 24):
-        out = linededup.dedup_lines(frame(spark, rows), min_sites=sites, lg_k=4 if sites == 24 else 10).collect()
+        out = linededup.dedup_lines(frame(spark, rows), min_sites=sites, lg_k=4 if sites == 24 else 10, keep_first=False).collect()
         assert Counter((x.doc_id, x.text, x._n_boiler) for x in out) == expected_lines(rows, sites, 50)
-    empty = linededup.dedup_lines(frame(spark, rows).where("false"))
-    assert empty.count() == 0 and math.isclose(1, 1)
+    assert linededup.dedup_lines(frame(spark, rows).where("false")).count() == 0
+
+
+def test_line_dedup_names_and_rows_without_id(spark):
+    """Columns named like the counts stay, and rows without an id are each cut on their own text."""
+    rows = [(None if i % 2 else i, f"nav\nown {i % 7}", f"s{i}", "kept", 3) for i in range(40)]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("_n_cut", T.StringType()), T.StructField("_id", T.IntegerType())])
+    out = linededup.dedup_lines(spark.createDataFrame(rows, schema))
+    assert out.columns == [*schema.names, "_n_lines", "_n_boiler", "_n_cut_2"]
+    got = Counter((r.doc_id, r.text, r._n_cut, r._id) for r in out.collect())
+    first = {f"own {k}": min((i for i in range(0, 40, 2) if i % 7 == k)) for k in range(7)}
+    sites = Counter(f"own {i % 7}" for i in range(40))
+    want = Counter()
+    for i, t, *_ in rows:
+        own = t.split("\n")[1]
+        left = [x for x in ("nav", own) if (i == 0 if x == "nav" else sites[x] < 10 or first[own] == i)]
+        want[i, "\n".join(left) or t, "kept", 3] += 1
+    assert got == want
 
 
 def test_pipeline_cuts_pages_of_mostly_boilerplate(spark):

@@ -22,9 +22,11 @@ LG_K = 10
 BAND_SIGMAS = 6.0
 #: Parts that each line hash is dealt into where lines meet the few hashes that matter.
 SALTS = 32
-#: A document of which more than this share (percent of its line characters) is boilerplate is a copy of
-#: other documents, not a page with boilerplate; it is left whole for document dedup.
+#: Without ``keep_first``: a document of which more than this share (percent of its line characters) is
+#: boilerplate is a copy of other documents, not a page with boilerplate; it is left whole for document dedup.
 MAX_SHARE = 50
+#: Names of the counts that ``dedup_lines`` appends.
+COUNTS = ("_n_lines", "_n_boiler", "_n_cut")
 
 
 def _line_hash(line: Column) -> Column:
@@ -36,18 +38,24 @@ def _site(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col.cast("string")))
 
 
+def document_key(id_: Column, text: Column) -> Column:
+    """128 bits for a document: rows that agree in them are the same text under the same id."""
+    return F.struct(F.xxhash64(F.lit(31), id_, text).alias("a"), F.xxhash64(F.lit(32), text, id_).alias("b"))
+
+
 def site_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(_id, _site, _h): one row for each distinct line with a word of each document."""
+    """(_id, _doc, _site, _h): one row for each distinct line with a word of each document; _doc is a hash of the
+    id and the text, so rows without an id are no group."""
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), _line_hash))
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _site(F.col(site_col)).alias("_site"), F.explode(lines).alias("_h"))
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), document_key(F.col(id_col), F.col(text_col)).alias("_doc"), _site(F.col(site_col)).alias("_site"), F.explode(lines).alias("_h"))
 
 
 def _lines_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows of ``lines`` (_id, _h, ...) whose hash is in ``hashes`` (_h, unique), with its other columns. A line that very many documents hold
+    """Rows of ``lines`` (_doc, _h, ...) whose hash is in ``hashes`` (_h, unique), with its other columns. A line that very many documents hold
     is dealt into SALTS parts by document; the few hashes are repeated instead."""
     more = [c for c in hashes.columns if c != "_h"]
     wanted = hashes.select(F.col("_h").alias("_wh"), *more, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ws"))
-    part = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.col("_doc.a"), F.lit(SALTS)).cast("int")
     return lines.join(wanted, (F.col("_h") == F.col("_wh")) & (part == F.col("_ws")), "inner" if more else "left_semi").drop("_wh", "_ws")
 
 
@@ -55,7 +63,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     """(_h): hashes of the lines seen on ``min_sites`` distinct sites or more; with ``first`` also _first, the
     smallest id that holds the line.
 
-    ``lines`` has (_id, _site, _h). The sketch decides outside the band; inside it the distinct (line, site) pairs
+    ``lines`` has (_id, _doc, _site, _h). The sketch decides outside the band; inside it the distinct (line, site) pairs
     of the near lines are counted. The band is BAND_SIGMAS standard errors wide on each side.
     """
     error = BAND_SIGMAS * 1.04 / math.sqrt(1 << lg_k)
@@ -78,28 +86,32 @@ def dedup_lines(
     text_col: str = "text",
     site_col: str = "source",
     lg_k: int = LG_K,
-    keep_first: bool = False,
+    keep_first: bool = True,
 ) -> DataFrame:
-    """The columns of ``docs`` with boilerplate lines cut from the text, then ``_n_lines, _n_boiler, _n_cut``.
+    """The columns of ``docs`` with boilerplate lines cut from the text, then COUNTS (the last three columns,
+    under a name with a number where ``docs`` has a column of that name).
 
     Lines are split at \\n and compared without surrounding white space; lines without a word are never
     counted or cut. A null text stays null, an empty one empty, and both count 0 lines. Rows that share an id
-    are cut by the same global set of lines, each on its own text; a null id is an id. Every occurrence of a
-    boilerplate line goes, unless the document is mostly boilerplate (see MAX_SHARE).
+    are cut by the same global set of lines, each on its own text; a null id is an id. An empty table gives no
+    rows.
+
+    A boilerplate line stays in the document of the smallest id that holds it, and its other occurrences go from
+    every document that keeps some text, however much goes. Copies don't erase each other then, since each line
+    stays somewhere; a document of which nothing would stay is left whole for document dedup. ``_n_boiler``
+    counts the lines that could go.
 
-    With ``keep_first`` a line stays in the document of the smallest id that holds it, and its other
-    occurrences go from every document that keeps some text, however much goes; ``max_share`` is not used.
-    Copies don't erase each other then, since each line stays somewhere; a document of which nothing would
-    stay is left whole for document dedup. ``_n_boiler`` counts the lines that could go.
+    Without ``keep_first`` every occurrence goes, unless more than ``max_share`` percent of a document's line
+    characters would: it is left whole then.
     """
     names = docs.columns
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{site_col}`").alias("_source"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("none")]).alias("_row"))
     lines = site_lines(packed, "_id", "_text", "_source")
-    hits = _lines_of(lines.select("_id", "_h"), boilerplate_lines(lines, min_sites, lg_k, keep_first))
+    hits = _lines_of(lines.select("_id", "_doc", "_h"), boilerplate_lines(lines, min_sites, lg_k, keep_first))
     if keep_first:
         hits = hits.where(~F.col("_id").eqNullSafe(F.col("_first")))
-    per_doc = hits.groupBy(F.col("_id").alias("_did")).agg(F.collect_set("_h").alias("_bad"))
-    joined = packed.join(per_doc, F.col("_id").eqNullSafe(F.col("_did")), "left")
+    per_doc = hits.groupBy(F.col("_doc").alias("_hit")).agg(F.collect_set("_h").alias("_bad"))
+    joined = packed.join(per_doc, document_key(F.col("_id"), F.col("_text")) == F.col("_hit"), "left")
     split = joined.withColumn("_lines", F.transform(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(BLANKS)).alias("t"))))
     tagged = split.withColumn("_tagged", F.when(F.col("_bad").isNotNull(), F.transform("_lines", lambda e: F.struct(e["x"].alias("x"), F.length(e["t"]).alias("n"), ((e["t"] != "") & F.array_contains(F.col("_bad"), F.xxhash64(e["t"]))).alias("b")))))
     total = lambda keep: F.aggregate(F.filter("_tagged", keep), F.lit(0).cast("long"), lambda a, e: a + e["n"])
@@ -111,4 +123,6 @@ def dedup_lines(
     out = out.withColumn("_new", F.when(F.col("_cut"), kept).otherwise(F.col("_text")))
     out = out.withColumn("_n_lines", F.size(F.filter("_lines", lambda e: e["t"] != "")).cast("long"))
     cols = [F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names]
-    return out.select(*cols, F.col("_n_lines"), F.col("_n_boiler"), F.when(F.col("_cut"), F.col("_n_boiler")).otherwise(F.lit(0).cast("long")).alias("_n_cut"))
+    cut = F.when(F.col("_cut"), F.col("_n_boiler")).otherwise(F.lit(0).cast("long"))
+    free = [c if c not in names else next(f"{c}_{i}" for i in range(2, len(names) + 3) if f"{c}_{i}" not in names) for c in COUNTS]
+    return out.select(*cols, F.col("_n_lines").alias(free[0]), F.col("_n_boiler").alias(free[1]), cut.alias(free[2]))

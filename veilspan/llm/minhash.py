@@ -27,6 +27,8 @@ from veilspan.llm.components import components
 
 #: Chance that two documents just at the threshold share no band.
 MISS = 1e-7
+#: Pairs of one head that are compared in one piece.
+HEAD_PAIRS = 200
 #: Words whose hashes a worker remembers.
 WORD_CACHE = 200_000
 
@@ -153,10 +155,13 @@ def _close(a, b, percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets meet the threshold."""
-    left = sets.select(F.col("_id").alias("_a"), F.col("_shingles").alias("_sa"))
+    """The (u, v) of ``pairs`` whose full sets meet the threshold. A ``u`` with very many partners is repeated, and
+    they are dealt out among its repeats, so that the head of a large group isn't one task."""
+    busy = pairs.groupBy(F.col("u").alias("_bu")).agg(F.ceil(F.count(F.lit(1)) / HEAD_PAIRS).cast("int").alias("_parts"))
+    heads = sets.join(busy, F.col("_id") == F.col("_bu")).select(F.col("_id").alias("_a"), F.col("_shingles").alias("_sa"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_ha"))
     right = sets.select(F.col("_id").alias("_b"), F.col("_shingles").alias("_sb"))
-    joined = pairs.join(right, F.col("v") == F.col("_b")).join(left, F.col("u") == F.col("_a"))
+    dealt = pairs.join(busy, F.col("u") == F.col("_bu")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int").alias("_part"))
+    joined = dealt.join(right, F.col("v") == F.col("_b")).join(heads, (F.col("u") == F.col("_a")) & (F.col("_part") == F.col("_ha")))
     both = F.size(F.array_intersect("_sa", "_sb"))
     return joined.where(100 * both >= percent * (F.size("_sa") + F.size("_sb") - both)).select("u", "v").distinct()
 
@@ -217,6 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     twice = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull()).groupBy("_id").agg(F.min("_set").alias("_s1"), F.max("_set").alias("_s2")).where(F.col("_s1") != F.col("_s2")).select(F.col("_id").alias("_tid"))
     of_set = nodes.select(F.col("_set").alias("_s"), "_rep")
     tied = signed.join(twice, F.col("_id") == F.col("_tid"), "left_semi").join(of_set, F.col("_set") == F.col("_s")).select("_id", F.col("_rep").alias("v"))
+    scratch: list[DataFrame] = []
     ties = stage_table(tied.join(tied.groupBy(F.col("_id").alias("_i2")).agg(F.min("v").alias("u")), F.col("_id") == F.col("_i2")).where(F.col("u") != F.col("v")).select("u", "v").distinct(), "ties")
     labels = None if ties.isEmpty() else _relabel(None, ties)
     if not members.isEmpty():
@@ -226,6 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         lowest = members.where(F.col("_rep") != F.col("_head")).groupBy("_rep").agg(F.min("_head").alias("u"))
         links = stage_table(_links(lowest.select("u", F.col("_rep").alias("v")), sets, percent), "links")
         labels = _relabel(labels, links)
+        scratch += [links, labels]
 
         size_of = members.select(F.col("_rep").alias("_sr"), F.col("_n").alias("_sn")).distinct()
 
@@ -240,6 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = stage_table(_links(apart.select(F.col("_head").alias("u"), F.col("_rep").alias("v")), sets, percent), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
+        scratch += [links, labels]
 
         tagged = labelled(members.select("_key", "_rep", "_n"), "_rep", "_label")
         mixed = tagged.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("_key").alias("_mk"))
@@ -247,6 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = stage_table(_links(_prefix_pairs(open_, sets, percent), sets, percent), "links")
         if not links.isEmpty():
             labels = _relabel(labels, links)
+        scratch += [links, labels]
         # Labels are a written table of their own by now; what led to them can go.
         for done in (sets, open_, members):
             drop_table(done)
@@ -258,16 +267,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         worded = worded.withColumn("_c", F.col("_rep"))
     bare = signed.where(F.col("_n") == 0).select("_id", "_n", F.col("_id").alias("_c"))
     out = worded.select("_id", "_n", "_c").unionByName(bare)
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.col("_id").eqNullSafe(F.col("_c")).alias("kept"))
+    out = stage_table(out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), F.col("_id").eqNullSafe(F.col("_c")).alias("kept")), "classes")
+    # The result is a small table of its own; what led to it can go.
+    for done in [signed, nodes, ties, *scratch]:
+        drop_table(done)
+    return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component, one row per id (rows without an id all stay)."""
     found = near_duplicates(docs, k, percent, rows, id_col, text_col)
     keep = stage_table(found.where("kept").groupBy(F.col(id_col).alias("_kid")).agg(F.count(F.lit(1)).alias("_kn")), "kept")
-    names = docs.columns
-    same = F.col(id_col).eqNullSafe(F.col("_kid"))
-    single = docs.join(keep.where((F.col("_kn") == 1) | F.col("_kid").isNull()), same, "left_semi")
-    rank = F.row_number().over(W.partitionBy("_kid").orderBy(F.xxhash64(F.col(text_col)), *[F.col(f"`{c}`").cast("string") for c in names]))
-    several = docs.join(keep.where((F.col("_kn") > 1) & F.col("_kid").isNotNull()), same).withColumn("_rank", rank).where("_rank = 1").select(*[F.col(f"`{c}`") for c in names])
-    return single.unionByName(several)
+    drop_table(found)
+    # The columns travel packed, so none of them can clash with a name used here.
+    whole = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = whole.join(keep, F.col("_id").eqNullSafe(F.col("_kid")))
+    single = joined.where((F.col("_kn") == 1) | F.col("_kid").isNull()).select("_row")
+    as_text = [F.col("_row").getField(c).cast("string") for c in docs.columns]
+    order = F.row_number().over(W.partitionBy("_kid").orderBy(F.xxhash64(F.col("_row").getField(text_col)), *as_text))
+    several = joined.where((F.col("_kn") > 1) & F.col("_kid").isNotNull()).withColumn("_place", order).where("_place = 1").select("_row")
+    return single.unionByName(several).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

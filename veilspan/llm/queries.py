@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspan.llm.bpe import encode_documents
 from veilspan.llm.chat import format_chats, read_back, to_turns
 from veilspan.llm.common import read_table, vocabulary
-from veilspan.llm.linededup import MAX_SHARE, MIN_SITES, dedup_lines
+from veilspan.llm.linededup import COUNTS, MIN_SITES, dedup_lines
 from veilspan.llm.media import image_copies, pictures
 from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mix
@@ -42,10 +42,10 @@ def query(name: str, sql: str | None = None):
     WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     l AS (SELECT doc_id, source, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM d),
     t AS (SELECT *, {_TRIM.format('x')} AS w FROM l),
-    bad AS (SELECT w FROM t WHERE w <> '' GROUP BY w HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}),
-    g AS (SELECT t.*, bad.w IS NOT NULL AS b FROM t LEFT JOIN bad USING (w)),
+    bad AS (SELECT w, min(doc_id) AS first FROM t WHERE w <> '' GROUP BY w HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}),
+    g AS (SELECT t.*, bad.w IS NOT NULL AND bad.first <> doc_id AS b FROM t LEFT JOIN bad USING (w)),
     s AS (SELECT doc_id, count(*) FILTER (w <> '') AS n_lines, count(*) FILTER (b) AS n_boilerplate,
-            count(*) FILTER (b) > 0 AND 100 * coalesce(sum(length(w)) FILTER (b), 0) <= {MAX_SHARE} * sum(length(w)) AS cut,
+            count(*) FILTER (b) > 0 AND coalesce(sum(length(w)) FILTER (b), 0) < sum(length(w)) AS cut,
             coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (NOT b), '') AS kept FROM g GROUP BY doc_id)
     SELECT doc_id, n_lines, n_boilerplate, CASE WHEN cut THEN n_boilerplate ELSE 0 END AS n_removed,
            CASE WHEN cut THEN kept ELSE d.text END AS text
@@ -54,7 +54,8 @@ def query(name: str, sql: str | None = None):
 )
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_boiler").alias("n_boilerplate"), F.col("_n_cut").alias("n_removed"), "text")
+    lines, boiler, cut = out.columns[-len(COUNTS) :]
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(boiler).alias("n_boilerplate"), F.col(cut).alias("n_removed"), "text")
 
 
 @query(
