@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.bpe import encode_documents
-from veilspan.llm.common import read_table, stage_table, vocabulary
+from veilspan.llm.common import drop_table, read_table, stage_table, vocabulary
 from veilspan.llm.linededup import dedup_lines
 from veilspan.llm.minhash import one_of_each
 from veilspan.llm.mixing import mixed_documents
@@ -19,31 +19,55 @@ from veilspan.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the policy rejects."""
+    """Documents that no rule of the policy rejects, unchanged.
+
+    Every row is judged on its own text, so repeated rows stay or go together and ids are not read. A null or
+    empty text has too few words and goes. Other columns, whatever their names, pass through; an empty table
+    gives no rows.
+    """
     return filter_documents(docs, "full-1")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines but for the first of each; n_chars follows the text."""
+    """All rows, without cross-site boilerplate lines but for the first of each; n_chars follows the text.
+
+    A line is boilerplate from ten sources on, a null source counting as one; it stays in the document of the
+    smallest id that holds it. No document loses all its text. A null text stays null. Repeated rows are cut
+    alike; other columns, whatever their names, pass through; an empty table gives no rows.
+    """
     out = dedup_lines(docs, keep_first=True)
-    cut = F.col("_n_cut") > 0
+    cut = F.col(f"`{out.columns[-1]}`") > 0
     cols = [F.when(cut, F.length("text")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest id of a group stays. Rows that share an id are one document. Texts without a word are linked
+    with nothing and stay; rows without an id go where a document with an id has their shingles. Other columns,
+    whatever their names, pass through; an empty table gives no rows.
+    """
     ship_package(spark)
     return one_of_each(docs, k=5, percent=80, rows=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: a row as often as the mix takes it."""
+    """The sources at their target weights: a row as often as the mix takes it, three times at most.
+
+    The null source is the last. Texts without words have size 0 and go where their block goes. Rows that agree
+    in id, text and source are taken together. Other columns, whatever their names, pass through; an empty table
+    gives no rows.
+    """
     return mixed_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row: id, counts, digests and the ids.
+
+    A null or empty text has no tokens; long texts are encoded whole. Rows are encoded on their own, so repeated
+    rows repeat; other columns are not read; an empty table gives no rows.
+    """
     ship_package(spark)
     return encode_documents(docs, vocabulary("word_bpe_49k.json"))
 
@@ -56,14 +80,19 @@ STAGES = [
     ("BPE encoding", bpe),
 ]
 
-#: Components, the mix and BPE are beyond SQL; tests hold the stages against brute force.
+#: Components, the mix and BPE are beyond SQL. Tests hold the first three stages' rows and texts against plain
+#: Python, the mix against exact targets, and the tokens against the library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``; each stage's table goes once the next one's is written."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage_table(docs, f"stage{i}")
+        out = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        done, docs = docs, stage_table(out, f"stage{i}")
+        if i:
+            drop_table(done)
     return docs
