@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import unicodedata
 
 import public_tokenizers
 from pyspark.sql import types as T
@@ -37,6 +38,19 @@ def test_word_bpe_matches_the_library():
         assert [lib.decode(i, skip_special_tokens=False).encode() for i in want] == [d for _, d in got]
 
 
+def test_every_code_point():
+    """Both encoders give the library's tokens around every code point that Python's Unicode tables know."""
+    points = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Co", "Cs")]
+    for path, mine, ids in ((WORD, bpe.WordEncoder(WORD).encode_batch, lambda g: len(g[0]) // 4), (BYTE, tokencount.TokenCounter(BYTE).count_batch, lambda g: g)):
+        lib, differ = Tokenizer.from_file(path), []
+        texts_ = ["".join(f"a{c} {c}B" for c in points[at : at + 16]) for at in range(0, len(points), 16)]
+        for at in range(0, len(texts_), 5000):
+            want = [len(e.ids) for e in lib.encode_batch(texts_[at : at + 5000], add_special_tokens=False)]
+            got = [ids(g) for g in mine(texts_[at : at + 5000])]
+            differ += [at + i for i, (w, g) in enumerate(zip(want, got, strict=True)) if w != g]
+        assert not [texts_[i] for i in differ]
+
+
 def test_the_bounded_cache_forgets_without_changing_results(monkeypatch):
     ts = texts(600, 4)
     whole = tokencount.TokenCounter(BYTE).count_batch(ts)

@@ -85,7 +85,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~verdict("base-1")).alias("base_failed"), verdict("full-1").alias("kept"), "fail_bits")
 
 
-@query("op5_jump_sharding")
+# The checksum is the bytewise CRC-32 of its published polynomial, the walk is the published jump hash in 128-bit
+# integers. The operator numbers slots bucket by bucket; up to 2 million rows there is one bucket a shard.
+@query(
+    "op5_jump_sharding",
+    """
+    WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+    crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+    b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+            list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+    c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, crc),
+    walk AS (SELECT doc_id, (doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616 AS k, 0::HUGEINT AS j, -1::HUGEINT AS b40, -1::HUGEINT AS b41 FROM documents
+        UNION ALL SELECT doc_id, n, floor((j + 1)::DOUBLE * (2147483648.0 / ((n // 8589934592) + 1)::DOUBLE))::HUGEINT,
+            CASE WHEN j < 40 THEN j ELSE b40 END, CASE WHEN j < 41 THEN j ELSE b41 END
+        FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM walk WHERE j < 41)),
+    s AS (SELECT doc_id, max(b40)::INT AS shard, max(b41)::INT AS grown_shard FROM walk GROUP BY doc_id)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c JOIN s USING (doc_id)
+    """,
+)
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(read_table(spark, sf_dir, "documents"), 40, grow_to=41)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
