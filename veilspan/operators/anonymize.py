@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed value: the shape of a placeholder literal.
 PLACEHOLDER = r"<[^<>]{1,100}?_[0-9]+>"
 IRREVERSIBLE = ("mask", "redact")
 

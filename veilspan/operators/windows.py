@@ -96,7 +96,7 @@ def snap(text: str, start: int, end: int, keeps_separator: bool = False) -> tupl
     return start, end
 
 
-#: Labels whose values may begin with a separator.
+# Labels whose values may begin with a separator.
 SEPARATOR_LABELS = frozenset({"private_url", "secret"})
 
 
