@@ -6,7 +6,7 @@ half-open code point offsets. Everything here is a built-in expression, so detec
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,12 @@ SPANS = T.ArrayType(SPAN)
 SPAN_DDL = "struct<entity_type:string,text:string,start:int,end:int,score:double,source:string>"
 
 
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` as a column that later filters can't pull in and compute again: conditions on what a
+    generator gives stay above it, and one of an array of one element adds no row and drops none."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN_DDL}>")
 

@@ -64,9 +64,10 @@ class Rule:
 COMMON: tuple[Rule, ...] = (
     Rule("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs="@"),
     Rule("card", "CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}", 1.0, check=S.luhn_ok),
-    Rule("ip", "IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.6, check=S.octets_ok),
+    Rule("ip", "IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.6, check=S.octets_ok, needs="."),
     Rule("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75, needs="+"),
-    Rule("ssn", "US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5),
+    Rule("ssn", "US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.5, needs="-"),
+    Rule("url", "URL", r"https?://[^\s<>\"'`]*[^\s<>\"'`.,;:!?)\]}]", 0.6, needs="://"),
     Rule("iban", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", 1.0, check=S.iban_ok),
     Rule("nhs", "UK_NHS", r"[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", 1.0, check=S.nhs_ok),
 )
@@ -99,7 +100,7 @@ def detect_column(text: Column, rules: Iterable[Rule] = COMMON, lang: Column | N
 
 def detect(df: DataFrame, rules: Iterable[Rule] = COMMON, text_col: str = "text", lang_col: str | None = None, out: str = "spans") -> DataFrame:
     """``df`` with the array of detected spans. Null and empty texts have none."""
-    return df.withColumn(out, detect_column(F.col(text_col), rules, F.col(lang_col) if lang_col else None))
+    return S.computed_once(df, detect_column(F.col(text_col), rules, F.col(lang_col) if lang_col else None), out)
 
 
 def keep_types(spans: Column, types: Iterable[str], own_sources: Iterable[str] = ("custom",)) -> Column:
@@ -123,6 +124,11 @@ def span_rows(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame
     return df.select(*keys, F.posexplode(spans).alias("ord", "_s")).select(*keys, "ord", "_s.*")
 
 
+def with_merged(df: DataFrame, merged: Column, spans: str = "spans") -> DataFrame:
+    """``df``'s rows that have spans, with ``merged`` in their place, computed once."""
+    return S.computed_once(df.where(F.size(spans) > 0), merged, spans)
+
+
 def detect_distinct(df: DataFrame, rules: Iterable[Rule], key: str, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """``df``'s key and spans, each distinct (text, language) detected once and joined back.
 
@@ -130,6 +136,6 @@ def detect_distinct(df: DataFrame, rules: Iterable[Rule], key: str, text_col: st
     """
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     keyed = df.select(key, F.col(text_col).alias("_text"), lang.alias("_lang")).withColumn("_h", F.struct(F.xxhash64("_text", "_lang").alias("a"), F.xxhash64(F.lit(1), "_lang", "_text").alias("b")))
-    once = keyed.groupBy("_h").agg(F.first("_text").alias("_text"), F.first("_lang").alias("_lang"))
-    found = once.select(F.col("_h").alias("_k"), detect_column(F.col("_text"), rules, F.col("_lang") if lang_col else None).alias("spans"))
+    once = keyed.groupBy(F.col("_h").alias("_k")).agg(F.first("_text").alias("_text"), F.first("_lang").alias("_lang"))
+    found = detect(once, rules, "_text", "_lang" if lang_col else None).select("_k", "spans")
     return keyed.select(key, "_h").join(found, F.col("_h") == F.col("_k")).select(key, "spans")

@@ -12,13 +12,26 @@ from pyspark.sql import functions as F
 
 #: Longest value that an allow rule may let through.
 MAX_ALLOWED = 1024
-#: Values no allow pattern may match: one that does would let nearly anything through.
-CANARIES = ("a", "0", "word", "john.doe@example.com", "4111111111111111", "+1 202 555 0134", "192.168.0.1", "Jean Dupont", "sk-abcdefghijklmnopqrstuvwxyz012345")
+# Samples of personal data that no allow pattern may match as a whole.
+CANARIES = (
+    "jane.doe@example.org",
+    "Jane Doe",
+    "+1 415 555 0132",
+    "4111 1111 1111 1111",
+    "DE89 3704 0044 0532 0130 00",
+    "078-05-1120",
+    "203.0.113.7",
+    "1984-03-12",
+    "https://example.org/profile/jane",
+)
+#: Types that a rule must name to let them through, beside those of the block gate.
+PROTECTED = ("SECRET",)
 
 
 @dataclass(frozen=True)
 class AllowRule:
-    """Exactly one of ``value`` and ``pattern``; ``entity_types`` None means every type."""
+    """Exactly one of ``value`` and ``pattern``. A rule with ``entity_types`` holds for these; one without holds
+    for every type but the protected ones."""
 
     value: str | None = None
     pattern: str | None = None
@@ -41,11 +54,8 @@ class AllowRule:
 
     def allows(self, entity_type: Column, text: Column, protected: Iterable[str] = ()) -> Column:
         said = text == self.value if self.value is not None else text.rlike(rf"^(?:{self.pattern.replace('(?P<', '(?<')})\z")
-        ok = said & (F.length(text) <= MAX_ALLOWED)
-        if self.entity_types is not None:
-            ok = ok & entity_type.isin(*self.entity_types)
-        protected = list(protected)
-        return ok & ~entity_type.isin(*protected) if protected else ok
+        of_type = entity_type.isin(*self.entity_types) if self.entity_types is not None else ~entity_type.isin(*{*PROTECTED, *protected})
+        return said & (F.length(text) <= MAX_ALLOWED) & of_type
 
 
 def allowed(entity_type: Column, text: Column, rules: Iterable[AllowRule], protected: Iterable[str] = ()) -> Column:
@@ -69,6 +79,14 @@ def allow_verdicts(merged: DataFrame, raw: DataFrame, keys: list[str], rules: It
     return merged.join(r, on, "left").groupBy(*names).agg(F.coalesce(F.bool_and("_ok"), F.lit(False)).alias("let_through"))
 
 
+def let_through(span: Column, raw: Column, rules: Iterable[AllowRule], protected: Iterable[str] = ()) -> Column:
+    """The same for one merged span against its text's array of raw spans."""
+    rules, protected = list(rules), list(protected)
+    under = lambda r: (r["start"] < span["end"]) & (span["start"] < r["end"])
+    met = F.filter(raw, under)
+    return (F.size(met) > 0) & F.forall(met, lambda r: allowed(r["entity_type"], r["text"], rules, protected))
+
+
 def block_gate(rows: DataFrame, request: str, ordinal: str, blocked: Iterable[str]) -> DataFrame:
     """(request, blocked_types): requests with a blocked type, with the types of their first offending text only."""
     hit = rows.where(F.col("entity_type").isin(*blocked)).groupBy(request, ordinal).agg(F.sort_array(F.collect_set("entity_type")).alias("_types"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions import spans as S
 from veilspan.operators import anonymize as A
 from veilspan.operators import detect as D
 from veilspan.operators import gateway as G
@@ -22,6 +23,8 @@ from veilspan.plans import sql as Q
 from veilspan.session import ship_package
 from veilspan.streaming import restore as ST
 
+#: Session setting, see ``table``.
+DEAL = "spark.veilspan.dealPartitions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -46,12 +49,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's folder. A file of one row group is one task, and patterns are the costly part of
-    a query, so a table of fewer files than cores is dealt out first; larger tables are read as they lie."""
+    """A table of the driver's folder. A file of one row group is one task; a session that reads few small files
+    can have their rows dealt out by setting DEAL to a number of partitions. Unset, tables are read as they lie."""
     ship_package(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    parts = int(spark.conf.get(DEAL, "0"))
+    return rows.repartition(parts) if parts else rows
 
 
 def _shown(rows: DataFrame, *extra: str) -> DataFrame:
@@ -101,7 +104,7 @@ def merge_union_default(spark, sf_dir):
 
 def _folded(spark, sf_dir, rules=OVERLAPPING, **options) -> DataFrame:
     docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
-    return D.span_rows(docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), **options)), ["doc_id"])
+    return D.span_rows(D.with_merged(docs, M.merge_column(F.col("spans"), F.col("text"), **options)), ["doc_id"])
 
 
 @query("merge_union_fold", f"SELECT {_MERGED}, substring(text, a + 1, z - a) AS text FROM ({Q.islands_sql(Q.spans_sql(OVERLAPPING))}) JOIN documents USING (doc_id)")
@@ -144,8 +147,8 @@ _ALLOW = (P.AllowRule(value="+1 (555) 123-4567"), P.AllowRule(pattern=r"[0-9]{1,
 @query(
     "allow_list_verdict",
     f"""WITH s AS ({Q.spans_sql(OVERLAPPING)}), m AS ({Q.islands_sql("SELECT * FROM s")}),
-    r AS (SELECT *, (text = '+1 (555) 123-4567' OR (entity_type = 'IP_ADDRESS' AND regexp_full_match(text, '[0-9]{{1,2}}\\.[0-9]+\\.[0-9]+\\.[0-9]+'))
-                     OR regexp_full_match(text, '[a-m].*@mail[0-9]+\\.example\\.com')) AND length(text) <= 1024 AS ok FROM s)
+    r AS (SELECT *, ((text = '+1 (555) 123-4567' AND entity_type <> 'SECRET') OR (entity_type = 'IP_ADDRESS' AND regexp_full_match(text, '[0-9]{{1,2}}\\.[0-9]+\\.[0-9]+\\.[0-9]+'))
+                     OR (regexp_full_match(text, '[a-m].*@mail[0-9]+\\.example\\.com') AND entity_type <> 'SECRET')) AND length(text) <= 1024 AS ok FROM s)
     SELECT m.doc_id, m.entity_type, m.a AS span_start, m.z AS span_end, bool_and(ok) AS let_through
     FROM m JOIN r ON r.doc_id = m.doc_id AND r.a < m.z AND m.a < r.z GROUP BY ALL""",
 )
@@ -174,8 +177,7 @@ def _sourced(spark, sf_dir, rules) -> DataFrame:
     """Merged spans with the document's source as the request."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request"), "text")
     docs = D.detect(docs, rules)
-    docs = docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY))
-    return D.span_rows(docs, ["request", "doc_id"])
+    return D.span_rows(D.with_merged(docs, M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY)), ["request", "doc_id"])
 
 
 @query(
@@ -276,9 +278,9 @@ def restore_fuzzy(spark, sf_dir):
     return R.restore_fuzzy_df(out, mapping, "request", "anonymized").select("doc_id", "restored")
 
 
-@query("type_counts", f"WITH {_M} SELECT source, entity_type, count(DISTINCT text) AS n FROM m GROUP BY source, entity_type")
+@query("type_counts", f"WITH {_M}, o AS (SELECT source, text, arg_min(entity_type, doc_id * 1000000 - a) AS entity_type FROM m GROUP BY source, text) SELECT source, entity_type, count(*) AS n FROM o GROUP BY source, entity_type")
 def type_counts(spark, sf_dir):
-    return A.type_counts(_sourced(spark, sf_dir, BASIC), "request").withColumnRenamed("request", "source")
+    return A.type_counts(_sourced(spark, sf_dir, BASIC), "request", "doc_id").withColumnRenamed("request", "source")
 
 
 @query(
@@ -357,13 +359,12 @@ def known_value_propagation(spark, sf_dir):
 
 
 def _flagship(spark, sf_dir) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("request"), "text")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = D.detect(texts, BASIC)
-    docs = docs.where(F.size("spans") > 0).withColumn("spans", M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY))
-    rows = D.span_rows(docs, ["request", "doc_id"])
-    out = A.anonymize(texts, rows, "request", "doc_id", A.SHIPPED)
-    types = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("types"))
-    return out.join(types, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "anonymized", "n_spans", F.coalesce("types", F.lit("")).alias("types"))
+    merged = F.when(F.size("spans") > 0, M.merge_column(F.col("spans"), F.col("text"), priorities=_PRIORITY)).otherwise(F.col("spans"))
+    docs = S.computed_once(docs, merged, "spans")
+    types = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda e: e["entity_type"]))), ",")
+    return docs.select("doc_id", A.anonymize_column(F.col("text"), F.col("spans"), A.SHIPPED)["text"].alias("anonymized"), F.size("spans").cast("long").alias("n_spans"), types.alias("types"))
 
 
 @query(
@@ -521,7 +522,7 @@ def refine_spans(spark, sf_dir):
     """A padded detection of an assigned, quoted address is fitted to the address, in front of the document and in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     value = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("@example.com"))
-    docs = docs.withColumn("text", _planted(F.concat(F.lit('SUPPORT_EMAIL="'.replace("SUPPORT_EMAIL", "CONTACT_MAIL")), value, F.lit('"\nnext'))))
+    docs = docs.withColumn("text", _planted(F.concat(F.lit('CONTACT_MAIL="'), value, F.lit('"\nnext'))))
     rule = D.Rule("padded", "EMAIL_ADDRESS", r'CONTACT_MAIL="[^"]*"', 0.9, "model")
     docs = D.detect(docs, [rule])
     rows = D.span_rows(docs.withColumn("spans", E.refine(F.col("text"), F.col("spans"))), ["doc_id"])
