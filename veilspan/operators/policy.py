@@ -24,6 +24,8 @@ CANARIES = (
     "1984-03-12",
     "https://example.org/profile/jane",
 )
+#: Detectors whose finds are known for certain and looked for again.
+KNOWN_SOURCES = ("secret_rules",)
 #: Types that a rule must name to let them through, beside those of the block gate.
 PROTECTED = ("SECRET",)
 
@@ -103,7 +105,7 @@ def token_shaped(value: Column) -> Column:
     return (F.length(value) >= 8) & value.rlike(r"(?U)\d") & ~value.rlike(r"(?U)^\d+\z")
 
 
-def known_values(rows: DataFrame, request: str, ordinal: str, sources: Iterable[str] = ("secret_rules",)) -> DataFrame:
+def known_values(rows: DataFrame, request: str, ordinal: str, sources: Iterable[str] = KNOWN_SOURCES) -> DataFrame:
     """(request, value, entity_type, since): credentials a structured rule identified, from their first text on."""
     first = F.struct(F.col(ordinal), F.col("start"))
     picked = rows.where(F.col("source").isin(*sources) & token_shaped(F.col("text")))
@@ -125,3 +127,25 @@ def copies_of_known(texts: DataFrame, known: DataFrame, request: str, ordinal: s
     around = lambda at: F.when(at < 1, F.lit("")).otherwise(F.substring(F.col(text_col), at, F.lit(1)))
     alone = ~around(F.col("start")).rlike(r"(?U)[\p{L}\p{N}]") & ~around(F.col("end") + 1).rlike(r"(?U)[\p{L}\p{N}]")
     return found.where(alone).select(request, ordinal, F.col("_type").alias("entity_type"), F.col("value").alias("text"), "start", "end", F.lit(1.0).alias("score"), F.lit("known").alias("source"))
+
+
+def known_in_text(text: str | None, spans) -> list[dict]:
+    """Spans of further free-standing copies, in one text, of the credentials that a structured rule found there;
+    copies inside a given span are left out."""
+    if text is None or spans is None:
+        return []
+    out, taken = [], [(s["start"], s["end"]) for s in spans]
+    values: dict[str, str] = {}
+    for s in spans:
+        value = s["text"]
+        if s["source"] in KNOWN_SOURCES and len(value) >= 8 and any(c.isdigit() for c in value) and not value.isdigit():
+            values.setdefault(value, s["entity_type"])
+    for value, kind in values.items():
+        at = text.find(value)
+        while at >= 0:
+            end = at + len(value)
+            alone = not text[max(0, at - 1) : at].isalnum() and not text[end : end + 1].isalnum()
+            if alone and not any(a <= at and end <= z for a, z in taken):
+                out.append({"entity_type": kind, "text": value, "start": at, "end": end, "score": 1.0, "source": "known"})
+            at = text.find(value, end)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from difflib import SequenceMatcher
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.operators.anonymize import PLACEHOLDER
+from veilspan.operators.leaves import JSON_KEYS
 
 
 def request_maps(mapping: DataFrame, request: str) -> DataFrame:
@@ -102,3 +104,52 @@ def restore_fuzzy_df(df: DataFrame, mapping: DataFrame, request: str, text_col:
     names = df.columns
     joined = df.join(request_maps(mapping, request), F.col(request).eqNullSafe(F.col("_mreq")), "left")
     return joined.select(*names, run(F.col(text_col), F.col("_map")).alias(out))
+
+
+def restore_tree(value, table: dict[str, str], skip_types: frozenset[str] = frozenset()):
+    """Every string leaf restored, but for blocks whose ``type`` is in ``skip_types``. A string of JSON under a key
+    of JSON_KEYS is restored on its parsed tree, so that quotes in an original can't break it."""
+    if isinstance(value, dict):
+        if isinstance(value.get("type"), str) and value["type"] in skip_types:
+            return value
+        return {k: _restore_json(v, table) if k in JSON_KEYS and isinstance(v, str) else restore_tree(v, table, skip_types) for k, v in value.items()}
+    if isinstance(value, list):
+        return [restore_tree(v, table, skip_types) for v in value]
+    return restore_any(value, table) if isinstance(value, str) else value
+
+
+def _restore_json(text: str, table: dict[str, str]) -> str:
+    plain = restore_any(text, table)
+    if plain == text:
+        return text
+    try:
+        tree = json.loads(text)
+    except ValueError:
+        return plain
+    return json.dumps(restore_tree(tree, table), ensure_ascii=False)
+
+
+def restore_documents(df: DataFrame, mapping: DataFrame, request: str, json_col: str, skip_types=frozenset(), out: str = "restored") -> DataFrame:
+    """``df`` with the reply in ``json_col`` restored as a tree by its request's mapping; text that isn't JSON is
+    restored as text."""
+    skip = frozenset(skip_types)
+
+    @F.pandas_udf(T.StringType())
+    def run(text: pd.Series, table: pd.Series) -> pd.Series:
+        done = []
+        for t, m in zip(text, table, strict=True):
+            if t is None or not m:
+                done.append(t)
+                continue
+            try:
+                tree = json.loads(t)
+            except ValueError:
+                done.append(restore_any(t, dict(m)))
+                continue
+            new = restore_tree(tree, dict(m), skip)
+            done.append(t if new == tree else json.dumps(new, ensure_ascii=False))
+        return pd.Series(done, dtype=object)
+
+    names = df.columns
+    joined = df.join(request_maps(mapping, request), F.col(request).eqNullSafe(F.col("_mreq")), "left")
+    return joined.select(*names, run(F.col(json_col), F.col("_map")).alias(out))

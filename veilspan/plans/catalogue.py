@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan import engine
 from veilspan.functions import spans as S
 from veilspan.operators import anonymize as A
 from veilspan.operators import detect as D
@@ -21,6 +22,7 @@ from veilspan.operators import secrets as X
 from veilspan.operators import windows as N
 from veilspan.plans import sql as Q
 from veilspan.session import ship_package
+from veilspan.sources import requests as RQ
 from veilspan.streaming import restore as ST
 
 #: Session setting, see ``table``.
@@ -527,3 +529,124 @@ def refine_spans(spark, sf_dir):
     docs = D.detect(docs, [rule])
     rows = D.span_rows(docs.withColumn("spans", E.refine(F.col("text"), F.col("spans"))), ["doc_id"])
     return rows.select("doc_id", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+_SHOWN_IP = r"[0-9]{1,2}\.[0-9]+\.[0-9]+\.[0-9]+"
+
+
+@query(
+    "protect_documents",
+    f"""WITH s AS ({Q.spans_sql(BASIC)}), i AS ({Q.islands_sql("SELECT * FROM s", priority="CASE entity_type WHEN 'PHONE_NUMBER' THEN 2 WHEN 'CREDIT_CARD' THEN 1 WHEN 'SECRET' THEN 1 ELSE 0 END")}),
+    v AS (SELECT i.doc_id, i.a, bool_and(s.entity_type = 'IP_ADDRESS' AND regexp_full_match(s.text, '{_SHOWN_IP}')) AS ok FROM i JOIN s ON s.doc_id = i.doc_id AND s.a < i.z AND i.a < s.z GROUP BY ALL),
+    m AS (SELECT i.*, i.doc_id::VARCHAR AS source, substring(d.text, a + 1, z - a) AS text FROM i JOIN v USING (doc_id, a) JOIN documents d USING (doc_id) WHERE NOT ok),
+    {_numbered_sql("entity_type NOT IN ('CREDIT_CARD', 'SECRET')").strip()},
+    swaps AS (SELECT m.doc_id, m.a, m.z, m.entity_type, {_LOSSY} AS fake FROM m LEFT JOIN map ON map.source = m.source AND map.original = m.text), r AS ({Q.rebuilt_sql("SELECT doc_id, a, z, fake FROM swaps")}),
+    n AS (SELECT doc_id, count(*) AS n, bool_or(entity_type = 'PHONE_NUMBER') AS bad FROM swaps GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(bad, false) THEN NULL ELSE coalesce(r.out, d.text) END AS anonymized, CASE WHEN coalesce(bad, false) THEN 'PHONE_NUMBER' ELSE '' END AS refused, coalesce(n, 0) AS n_spans
+    FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)""",
+)
+def protect_documents(spark, sf_dir):
+    """The whole call: detect, fit, merge, let addresses of short numbers through, refuse texts with a phone number."""
+    rule = P.AllowRule(pattern=_SHOWN_IP, entity_types=("IP_ADDRESS",))
+    out = engine.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), engine.Protection(rules=BASIC, allow=(rule,), blocked=("PHONE_NUMBER",)))
+    return out.select("doc_id", "anonymized", F.array_join("refused", ",").alias("refused"), "n_spans")
+
+
+@query("protect_round_trip", "SELECT doc_id, text AS restored, 0 AS n_leaks FROM documents")
+def protect_round_trip(spark, sf_dir):
+    """Protected, searched for leaks and put back, each document by its own values."""
+    sent = engine.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), engine.Protection(rules=BASIC, policy=A.Policy()))
+    back = engine.restore(sent, "anonymized")
+    leaking = F.size(F.filter("originals", lambda v: F.contains("anonymized", v)))
+    return back.select("doc_id", "restored", leaking.alias("n_leaks"))
+
+
+def _bodies(spark, sf_dir, body: str) -> DataFrame:
+    """A request made from each turn by a JSON-building expression."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), F.expr(body).alias("body"))
+
+
+_PARTS = "array(named_struct('type', 'text', 'text', text, 'url', cast(null as string)), named_struct('type', 'image_url', 'text', cast(null as string), 'url', 'x'))"
+_CALL = "array(named_struct('function', named_struct('name', 'f', 'arguments', to_json(named_struct('q', role, 'n', 12345678)))))"
+
+
+@query(
+    "chat_leaves",
+    """WITH c AS (SELECT conv_id * 100 + turn AS request, text, role FROM conversations)
+    SELECT request, 'messages[1].content[0].text' AS path, text FROM c WHERE text <> '' UNION ALL SELECT request, 'messages[1].reasoning', 'so ' || role FROM c
+    UNION ALL SELECT request, 'messages[1].tool_calls[0].function.arguments.$json.q', role FROM c UNION ALL SELECT request, 'messages[1].tool_calls[0].function.arguments.$json.n', '12345678' FROM c
+    UNION ALL SELECT request, 'prediction.content', 'then ' || role FROM c""",
+)
+def chat_leaves(spark, sf_dir):
+    """System messages passed by; parts, reasoning, tool arguments and auxiliary fields in order."""
+    body = f"to_json(named_struct('messages', array(named_struct('role', 'system', 'content', array(named_struct('type', 'text', 'text', 'rules', 'url', cast(null as string))), 'reasoning', cast(null as string), 'tool_calls', slice({_CALL}, 1, 0)), named_struct('role', 'user', 'content', {_PARTS}, 'reasoning', concat('so ', role), 'tool_calls', {_CALL})), 'prediction', named_struct('content', concat('then ', role))))"
+    return RQ.request_leaves(_bodies(spark, sf_dir, body), "request", "body", "chat", passthrough_system=True).select("request", "path", "text")
+
+
+@query(
+    "completion_and_embedding_leaves",
+    """WITH c AS (SELECT conv_id * 100 + turn AS request, text, role FROM conversations)
+    SELECT request, 'completions' AS endpoint, 0 AS scope, 'prompt[0]' AS path, text FROM c WHERE text <> '' UNION ALL SELECT request, 'completions', 0, 'prompt[1]', role FROM c UNION ALL SELECT request, 'completions', 0, 'suffix', 'end' FROM c
+    UNION ALL SELECT request, 'embeddings', 0, 'input[0]', text FROM c WHERE text <> '' UNION ALL SELECT request, 'embeddings', 1, 'input[1]', role FROM c""",
+)
+def completion_and_embedding_leaves(spark, sf_dir):
+    """Prompts and suffix share a mapping; every embedding input has one of its own."""
+    body = "to_json(named_struct('prompt', array(text, role), 'suffix', 'end', 'input', array(text, role)))"
+    rows = _bodies(spark, sf_dir, body)
+    parts = [RQ.request_leaves(rows, "request", "body", e).withColumn("endpoint", F.lit(e)) for e in ("completions", "embeddings")]
+    return parts[0].unionByName(parts[1]).select("request", "endpoint", "scope", "path", "text")
+
+
+@query("request_round_trip", """SELECT conv_id * 100 + turn AS request, '<' || text || '>' AS text, '<' || role || '>' AS argument FROM conversations WHERE text <> ''""")
+def request_round_trip(spark, sf_dir):
+    """Leaves changed as rows and put back, those inside a tool call's JSON too."""
+    body = f"to_json(named_struct('messages', array(named_struct('role', 'user', 'content', text, 'tool_calls', {_CALL}))))"
+    rows = _bodies(spark, sf_dir, body).where(F.get_json_object("body", "$.messages[0].content") != "")
+    found = RQ.request_leaves(rows, "request", "body", "chat")
+    out = RQ.put_leaves(rows, found.select("request", "ordinal", F.concat(F.lit("<"), "text", F.lit(">")).alias("new_text")), "request", "body", "chat")
+    arguments = F.get_json_object("body", "$.messages[0].tool_calls[0].function.arguments")
+    return out.select("request", F.get_json_object("body", "$.messages[0].content").alias("text"), F.get_json_object(arguments, "$.q").alias("argument"))
+
+
+@query(
+    "restore_reply_trees",
+    """SELECT conv_id * 100 + turn AS request, 'Zoë "' || role || '": ' || text AS text, '<PERSON_1>' AS thinking, 'Zoë "' || role || '"' AS argument FROM conversations""",
+)
+def restore_reply_trees(spark, sf_dir):
+    """Replies restored leaf by leaf: thinking blocks stay, quotes in an original don't break tool arguments."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), "role", "text")
+    reply = F.expr("to_json(named_struct('a', concat('<PERSON_1>: ', text), 'b', named_struct('type', 'thinking', 't', '<PERSON_1>'), 'c', named_struct('arguments', '{\"to\": \"<PERSON_1>\"}')))")
+    mapping = rows.select("request", F.lit("<PERSON_1>").alias("fake"), F.concat(F.lit('Zoë "'), "role", F.lit('"')).alias("original"))
+    out = R.restore_documents(rows.select("request", reply.alias("reply")), mapping, "request", "reply", G.THINKING)
+    at = lambda p: F.get_json_object("restored", p)
+    return out.select("request", at("$.a").alias("text"), at("$.b.t").alias("thinking"), F.get_json_object(at("$.c.arguments"), "$.to").alias("argument"))
+
+
+@query(
+    "gateway_items",
+    """WITH c AS (SELECT conv_id * 100 + turn AS request, text, role FROM conversations)
+    SELECT request, 'input[0].output.stdout' AS path, text FROM c WHERE text <> '' UNION ALL SELECT request, 'input[1].content', 'says ' || role FROM c UNION ALL SELECT request, 'input[2].output[1].note', role FROM c""",
+)
+def gateway_items(spark, sf_dir):
+    """Every leaf of tool output is scanned, what a role says is whatever the item's type, binary parts and opaque items are not."""
+    image = F.struct(F.lit("input_image").alias("type"), F.col("text").alias("note"))
+    item = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in fields.items()]))
+    items = [
+        item("shell_call_output", output=F.struct(F.col("text").alias("stdout"))), item("additional_tools", role=F.lit("developer"), content=F.concat(F.lit("says "), "role")),
+        item("function_call_output", output=F.array(image, F.struct(F.lit("part").alias("type"), F.col("role").alias("note")))), item("reasoning", text=F.col("text")),
+    ]
+    # The kind of the second part is a word of seven letters or fewer, but a leaf like any other.
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), F.concat(F.lit('{"input": ['), F.concat_ws(", ", *items), F.lit("]}")).alias("body"), F.lit("responses").alias("protocol"))
+    return G.gateway_leaves(rows, "request", "body", "protocol").where("path not like '%.type'").select("request", "path", "text")
+
+
+@query(
+    "allow_list_secrets",
+    f"""SELECT doc_id, entity_type, text, a AS span_start, entity_type <> 'SECRET' AS by_value, entity_type = 'SECRET' AS by_type FROM ({Q.spans_sql((D.TOKEN_RULE, IP))})""",
+)
+def allow_list_secrets(spark, sf_dir):
+    """A rule without types never reaches a secret, one that names the type does, even where it is blocked."""
+    rows = _spans_of(spark, sf_dir, (D.TOKEN_RULE, IP))
+    any_type, named = P.AllowRule(pattern=r"[0-9a-f]{40}|(?!203)[0-9.]+"), P.AllowRule(pattern="[0-9a-f]{40}", entity_types=("SECRET",))
+    verdict = lambda rule, *blocked: P.allowed(F.col("entity_type"), F.col("text"), [rule], blocked)
+    return rows.select("doc_id", "entity_type", "text", F.col("start").alias("span_start"), verdict(any_type).alias("by_value"), verdict(named, "SECRET").alias("by_type"))

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "stream_id string, channel string, seq long, text string"
 STATE = "held string, mapping string"
+#: The place of what a drained channel held.
+LAST = 2**62
 
 
 def json_escaped(text: str) -> str:
@@ -45,7 +47,7 @@ class Holdback:
                 at = end
                 continue
             rest = len(text) - at
-            # A longer fake that the text may still become waits, even if a shorter one already matches nothing.
+            # The longest fake that is there is taken at once, even if the text may still become a longer one.
             hit = next((f for f in near if text.startswith(f, at)), None)
             if hit is not None:
                 out.append(self.table[hit])
@@ -63,14 +65,23 @@ class Holdback:
         return out
 
 
-def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _run(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held, mapping = state.get if state.exists else ("", "{}")
+    if state.hasTimedOut:
+        # The stream has gone quiet: what is held can't become a placeholder any more.
+        state.remove()
+        yield pd.DataFrame([(key[0], key[1], LAST, held)] if held else [], columns=["stream_id", "channel", "seq", "text"])
+        return
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    out = []
+    out, tables = [], {}
     for r in rows.itertuples():
-        if r.mapping is not None and isinstance(r.mapping, str):
+        if isinstance(r.mapping, str):
             mapping = r.mapping
-        h = Holdback(json.loads(mapping), held, bool(r.is_json))
+        known = mapping, bool(r.is_json)
+        if known not in tables:
+            tables[known] = Holdback(json.loads(mapping), "", known[1])
+        h = tables[known]
+        h.held = held
         said = h.feed(r.fragment if isinstance(r.fragment, str) else "")
         if r.flush:
             said += h.flush()
@@ -78,16 +89,24 @@ def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
         if said:
             out.append((key[0], key[1], r.seq, said))
     state.update((held, mapping))
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["stream_id", "channel", "seq", "text"])
 
 
-def restore_stream(fragments: DataFrame) -> DataFrame:
+def restore_stream(fragments: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Restored fragments of a streaming frame (stream_id, channel, seq, fragment, is_json, flush, mapping).
 
     ``mapping`` is a JSON object of fakes to originals, needed on a channel's first row. Fragments are put in
-    order of ``seq`` within a micro-batch; a pure hold-back gives no row.
+    order of ``seq`` within a micro-batch; a pure hold-back gives no row. With ``idle_ms`` a channel without
+    fragments for that long is drained (its last row has the ``seq`` LAST) and its state removed, so a stream that
+    breaks off loses no text and leaves nothing behind; the query then runs batches without data, too.
     """
-    return fragments.groupBy("stream_id", "channel").applyInPandasWithState(_run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def run(key, batches, state):
+        return _run(idle_ms, key, batches, state)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return fragments.groupBy("stream_id", "channel").applyInPandasWithState(run, OUT, STATE, "append", timeout)
 
 
 def restore_batch(fragments: DataFrame) -> DataFrame:
