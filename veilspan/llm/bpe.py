@@ -16,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from veilspan.llm.common import worker_state
+
 #: Rank of a pair that has no merge.
 NONE = np.int32(2**31 - 1)
 
@@ -247,10 +249,9 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
-    return WordEncoder(path)
+    return worker_state(WordEncoder, path)
 
 
 def text_batches(batch, text: int, size: int = BATCH_CHARS):

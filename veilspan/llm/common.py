@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,26 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_state: dict = {}
+
+
+def worker_state(build, *args):
+    """What ``build(*args)`` makes, kept by the worker process for its next tasks.
+
+    Workers outlive a stage, so what one operator has learnt would stay beside what the next one learns: a worker
+    keeps one such thing and lets it go before it builds another.
+    """
+    key = (build.__module__, build.__qualname__, args)
+    if key not in _state:
+        import pyarrow as pa
+
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _state[key] = build(*args)
+    return _state[key]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's folder; also makes sure that workers can import this package."""
     ship_package(spark)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.llm.bpe import text_batches
-from veilspan.llm.common import drop_table, stage_table
+from veilspan.llm.common import drop_table, stage_table, worker_state
 from veilspan.llm.components import components
 
 #: Chance that two documents just at the threshold share no band.
@@ -116,7 +116,7 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     import xxhash
 
     def run(batches):
-        shingle, signer = Shingler(k), Signer(bands, rows)
+        shingle, signer = worker_state(Shingler, k), Signer(bands, rows)
         for batch in batches:
             for at, texts in text_batches(batch, 1):
                 sets = [shingle(t) for t in texts]
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        shingle = Shingler(k)
+        shingle = worker_state(Shingler, k)
         for batch in batches:
             for at, texts in text_batches(batch, 1):
                 sets = [shingle(t).view(np.int64) for t in texts]

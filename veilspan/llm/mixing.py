@@ -15,7 +15,6 @@ gives the same distribution as drawing at once. A source with a third of all row
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,13 +113,16 @@ def _shard_ends(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     leaves = split_quotas([sums[g] for g in order], shards, seed)
     share = {g: leaves[:, i].tolist() for i, g in enumerate(order)}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(last=rows["_s"].isna()).sort_values(["last", "_s"], kind="stable")
-        group, n = int(rows["_group"].iloc[0]), len(rows)
-        ends = np.cumsum(split_quotas([*rows["_blocks"], *rows["_singles"]], shards, [seed, group], share[group]), axis=0).T
-        return pd.DataFrame({"_rs": rows["_s"].to_numpy(), "_block_ends": ends[:n].tolist(), "_row_ends": ends[n:].tolist()})
+    def run(rows):
+        import pyarrow as pa
 
-    return grouped.groupBy("_group").applyInPandas(run, "_rs string, _block_ends array<bigint>, _row_ends array<bigint>")
+        rows = rows.sort_by("_s")  # bytes of UTF-8 are in code point order; null comes last
+        group, n = rows["_group"][0].as_py(), rows.num_rows
+        ends = np.cumsum(split_quotas([*rows["_blocks"].to_pylist(), *rows["_singles"].to_pylist()], shards, [seed, group], share[group]), axis=0).T
+        lists = pa.list_(pa.int64())
+        return pa.table({"_rs": rows["_s"], "_block_ends": pa.array(ends[:n].tolist(), lists), "_row_ends": pa.array(ends[n:].tolist(), lists)})
+
+    return grouped.groupBy("_group").applyInArrow(run, "_rs string, _block_ends array<bigint>, _row_ends array<bigint>")
 
 
 def plan_mix(base: DataFrame, shards: int, seed: int, weights=WEIGHTS, most: int = MAX_COPIES) -> tuple[DataFrame, int]:

@@ -8,12 +8,12 @@ has a rank is counted. Only counts leave the worker.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import regex
 
 from veilspan.llm.bpe import SPACE, MergeTable, TwoAges, merge_rounds, text_batches
+from veilspan.llm.common import worker_state
 
 
 class TokenCounter:
@@ -69,10 +69,9 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=4)
 def token_counter(path: str) -> TokenCounter:
     """One counter per worker process and vocabulary."""
-    return TokenCounter(path)
+    return worker_state(TokenCounter, path)
 
 
 def count_tokens(docs, vocab_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text"):
