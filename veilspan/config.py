@@ -6,6 +6,8 @@ Unknown keys are errors. Messages name keys and types, never values.
 from __future__ import annotations
 
 import dataclasses
+import hashlib
+import json
 import os
 import re
 from collections.abc import Mapping
@@ -79,6 +81,11 @@ class Config:
     def allow_rules(self) -> tuple[AllowRule, ...]:
         return tuple(AllowRule(**{**a, **({"entity_types": tuple(a["entity_types"])} if a.get("entity_types") is not None else {})}) for a in self.allow)
 
+    def fingerprint(self) -> str:
+        """A digest of all that decides what is detected: part of the key wherever detections are kept."""
+        told = [self.preset, self.languages, sorted(self.disabled_rules), sorted(self.custom.items()), [(r.name, r.whole, r.score) for r in self.rules()]]
+        return hashlib.blake2b(json.dumps(told).encode(), digest_size=16).hexdigest()
+
     def warnings(self) -> list[str]:
         """Allow entries that name a blocked type: the gate wins."""
         return [f"an allow rule names the blocked type {t}" for r in self.allow_rules() for t in r.entity_types or () if t in self.block_types]
@@ -106,3 +113,27 @@ def from_dict(raw: Mapping, env: Mapping[str, str] | None = None) -> Config:
         raise ValueError(f"unknown keys: {sorted(unknown)}")
     given = fill_environment(dict(raw), env)
     return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def load(path: str, env: Mapping[str, str] | None = None) -> Config:
+    """A configuration from a JSON or YAML file. What is wrong is told by key and place, never by value."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        try:
+            raw = json.loads(text)
+        except ValueError as e:
+            raise ValueError(f"the configuration is no JSON: line {e.lineno}") from None
+    else:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("YAML can't be read here; give the configuration as JSON") from None
+        try:
+            raw = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            mark = getattr(e, "problem_mark", None)
+            raise ValueError("the configuration is no YAML" + (f": line {mark.line + 1}" if mark else "")) from None
+    if not isinstance(raw or {}, dict):
+        raise ValueError("the configuration must be a table of keys")
+    return from_dict(raw or {}, env)

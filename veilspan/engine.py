@@ -22,6 +22,10 @@ from veilspan.operators.detect import COMMON, Rule, above, detect_column, keep_t
 from veilspan.operators.merge import merge_column, type_priorities
 from veilspan.operators.policy import AllowRule, known_in_text, let_through
 from veilspan.operators.refine import refine
+from veilspan.operators.secrets import OPTION_RULES, literal_spans, with_literals
+
+#: What ``refused`` says of a text that a detector failed on.
+FAILED = "DETECTION_FAILED"
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,7 @@ class Protection:
     resolution: str = "highest_score"
     fit: bool = True
     propagate: bool = True
+    on_error: str = "block"
     irreversible: tuple[str, ...] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -47,7 +52,7 @@ class Protection:
 
     @staticmethod
     def of(config: Config) -> Protection:
-        return Protection(config.rules(), config.policy(), config.allow_rules(), config.block_types, None, 0.0, config.strategy, config.resolution)
+        return Protection(config.rules(), config.policy(), config.allow_rules(), config.block_types, None, 0.0, config.strategy, config.resolution, on_error=config.on_error)
 
 
 @F.pandas_udf(SPANS)
@@ -55,14 +60,23 @@ def _known_copies(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([known_in_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
-def find(df: DataFrame, protection: Protection, text_col: str = "text", lang_col: str | None = None, out: str = "spans") -> DataFrame:
-    """``df`` with the merged spans of each text that the policy does not let through."""
+def find(df: DataFrame, protection: Protection, text_col: str = "text", lang_col: str | None = None, out: str = "spans", more: Iterable[str] = ()) -> DataFrame:
+    """``df`` with the merged spans of each text that the policy does not let through. ``more`` names columns of spans
+    that other detectors found; they go through the same steps."""
     text, p = F.col(f"`{text_col}`"), protection
     merge = lambda spans: merge_column(spans, text, p.strategy, p.resolution, type_priorities(p.blocked, p.irreversible))
-    raw = above(detect_column(text, p.rules, F.col(f"`{lang_col}`") if lang_col else None), p.threshold)
+    parts = [detect_column(text, p.rules, F.col(f"`{lang_col}`") if lang_col else None)]
+    nested = bool(set(OPTION_RULES) & set(p.rules))
+    if nested:
+        df = with_literals(df, text_col, "_literals")
+        parts.append(literal_spans(text, F.col("_literals")))
+    parts += [F.coalesce(F.col(f"`{c}`"), F.array().cast(SPANS)) for c in more]
+    raw = above(F.concat(*parts), p.threshold)
     if p.types is not None:
         raw = keep_types(raw, p.types)
     found = computed_once(df, raw, out)
+    if nested:
+        found = found.drop("_literals")
     if p.fit:
         found = computed_once(found, refine(text, F.col(out)), out)
     merged = merge(F.col(out))
@@ -77,16 +91,24 @@ def find(df: DataFrame, protection: Protection, text_col: str = "text", lang_col
     return found
 
 
-def protect(df: DataFrame, protection: Protection | Config, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+def protect(df: DataFrame, protection: Protection | Config, text_col: str = "text", lang_col: str | None = None, more: Iterable[str] = (), failed: str | None = None) -> DataFrame:
     """``df`` with ``anonymized`` (null where the request is refused), ``refused`` (the blocked types found),
     ``n_spans``, and ``originals``, ``types`` and ``fakes`` for putting the reversible ones back.
 
-    A null text stays null and has no spans. A refused request gives nothing away: its arrays are empty.
+    A null text stays null and has no spans. A refused request gives nothing away: its arrays are empty. ``more``
+    names columns of further detectors' spans, and ``failed`` the column that says where one of them failed: such a
+    text is refused as FAILED, or goes out raw where the policy's ``on_error`` is "allow". The block list wins.
     """
     p = Protection.of(protection) if isinstance(protection, Config) else protection
-    found = find(df, p, text_col, lang_col, "_spans")
+    found = find(df, p, text_col, lang_col, "_spans", more)
     blocked = list(p.blocked)
     refused = F.array_sort(F.array_distinct(F.filter(F.transform("_spans", lambda e: e["entity_type"]), lambda t: t.isin(*blocked) if blocked else F.lit(False))))
+    if failed is not None:
+        fell = F.coalesce(F.col(f"`{failed}`"), F.lit(False))
+        if p.on_error == "allow":
+            found = found.withColumn("_spans", F.when(fell & (F.size(refused) == 0), F.array().cast(SPANS)).otherwise(F.col("_spans")))
+        else:
+            refused = F.when(fell & (F.size(refused) == 0), F.array(F.lit(FAILED))).otherwise(refused)
     found = found.withColumn("refused", refused)
     done = computed_once(found, A.anonymize_column(F.col(f"`{text_col}`"), F.col("_spans"), p.policy), "_done")
     passed, none = F.size("refused") == 0, F.array().cast("array<string>")

@@ -109,6 +109,22 @@ def keep_types(spans: Column, types: Iterable[str], own_sources: Iterable[str] =
     return F.filter(spans, lambda e: e["entity_type"].isin(*types) | e["source"].isin(*own))
 
 
+def keep_primary(spans: Column, lang: Column, primary: str, sources: Iterable[str]) -> Column:
+    """Spans of the ``sources`` that read a whole language's names only count in texts of the primary language."""
+    bound = list(sources)
+    return F.filter(spans, lambda e: ~e["source"].isin(*bound) | F.coalesce(lang == primary, F.lit(False)))
+
+
+def without_values(spans: Column) -> Column:
+    """The spans without their texts, for keeping them apart from what they were found in."""
+    return F.transform(spans, lambda e: F.struct(*[e[n].alias(n) for n in ("entity_type", "start", "end", "score", "source")]))
+
+
+def with_values(bare: Column, text: Column) -> Column:
+    """The spans again, with their texts cut from the text they were found in."""
+    return F.transform(bare, lambda e: S.make_span(e["entity_type"], F.substring(text, e["start"] + 1, e["end"] - e["start"]), e["start"], e["score"], e["source"]))
+
+
 def above(spans: Column, threshold: float) -> Column:
     return F.filter(spans, lambda e: e["score"] >= threshold)
 
