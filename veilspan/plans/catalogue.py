@@ -15,6 +15,7 @@ from veilspan.operators import gateway as G
 from veilspan.operators import languages as L
 from veilspan.operators import leaves as J
 from veilspan.operators import merge as M
+from veilspan.operators import model as MD
 from veilspan.operators import policy as P
 from veilspan.operators import restore as R
 from veilspan.operators import refine as E
@@ -23,6 +24,9 @@ from veilspan.operators import windows as N
 from veilspan.plans import sql as Q
 from veilspan.session import ship_package
 from veilspan.sources import requests as RQ
+from veilspan.sources import sse
+from veilspan.streaming import events as EV
+from veilspan.streaming import replies as RP
 from veilspan.streaming import restore as ST
 
 #: Session setting, see ``table``.
@@ -650,3 +654,180 @@ def allow_list_secrets(spark, sf_dir):
     any_type, named = P.AllowRule(pattern=r"[0-9a-f]{40}|(?!203)[0-9.]+"), P.AllowRule(pattern="[0-9a-f]{40}", entity_types=("SECRET",))
     verdict = lambda rule, *blocked: P.allowed(F.col("entity_type"), F.col("text"), [rule], blocked)
     return rows.select("doc_id", "entity_type", "text", F.col("start").alias("span_start"), verdict(any_type).alias("by_value"), verdict(named, "SECRET").alias("by_type"))
+
+
+def _chunk(delta: str, finish: str = "cast(null as string)") -> str:
+    return f"""concat('data: ', to_json(named_struct('model', 'm', 'choices', array(named_struct('index', 0, 'delta', {delta}, 'finish_reason', {finish})))))"""
+
+
+@query(
+    "stream_replies",
+    """SELECT (conv_id * 100 + turn)::VARCHAR AS stream_id, 'Hi Zoë "Z" ' || conv_id || ': ' || text || ' <PERS' AS content, 'Zoë "Z" ' || conv_id AS argument, true AS framed FROM conversations""",
+)
+def stream_replies(spark, sf_dir):
+    """Chat replies as server-sent events, text and tool arguments cut across placeholders: restored, with the comment
+    before and [DONE] after them, and the tail that never became a placeholder."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("stream_id"), "conv_id", "text")
+    said = "concat('Hi <PERSON_1>: ', text, ' <PERS')"
+    text = f"transform(regexp_extract_all({said}, '[\\\\s\\\\S]{{1,7}}', 0), x -> {_chunk("named_struct('content', x)")})"
+    call = "named_struct('tool_calls', array(named_struct('index', 0, 'function', named_struct('arguments', x))))"
+    argument = f"""transform(array('{{"to": "<PER', 'SON_', '1>"}}'), x -> {_chunk(call)})"""
+    end = _chunk("named_struct('content', cast(null as string))", "'stop'")
+    body = F.expr(f"concat(array_join(concat(array(': ping'), {text}, {argument}, array({end}, 'data: [DONE]')), '\\n\\n'), '\\n\\n')")
+    mapping = F.to_json(F.create_map(F.lit("<PERSON_1>"), F.concat(F.lit('Zoë "Z" '), F.col("conv_id").cast("string"))))
+    blocks = sse.blocks(rows.select("stream_id", F.lit("chat").alias("protocol"), mapping.alias("mapping"), body.alias("body")), "body", ["stream_id", "protocol", "mapping"])
+    out = RP.restore_replies(blocks).withColumn("data", sse.data_of(F.col("block")))
+    delta = lambda p: F.coalesce(F.get_json_object("data", f"$.choices[0].delta.{p}"), F.lit(""))
+    put = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", v.alias("v")))), lambda x: x["v"]), "")
+    whole = out.groupBy("stream_id").agg(
+        put(delta("content")).alias("content"), put(delta("tool_calls[0].function.arguments")).alias("arguments"),
+        F.min_by("block", F.struct("seq", "part")).alias("head"), F.max_by("block", F.struct("seq", "part")).alias("tail"),
+    )
+    framed = (F.col("head") == ": ping") & (F.col("tail") == "data: [DONE]")
+    return whole.select("stream_id", "content", F.get_json_object("arguments", "$.to").alias("argument"), framed.alias("framed"))
+
+
+WORD = D.Rule("word", "PERSON", r"[^\x20\x09-\x0D]+", 1.0, "model")
+
+
+def _words(text):
+    """Token ids (2: begins with a capital) and offsets of the words of a text."""
+    import re
+
+    found = list(re.finditer(WORD.pattern, text))
+    return [2 if "A" <= m[0][0] <= "Z" else 1 for m in found], [m.span() for m in found]
+
+
+def _capitals(ids):
+    """Logits of two labels, sure of each."""
+    import numpy as np
+
+    return np.stack([np.where(ids == 2, -9.0, 9.0), np.where(ids == 2, 9.0, -9.0)], axis=-1)
+
+
+@query("token_model", f"SELECT doc_id, text, a AS span_start FROM ({Q.rule_sql(WORD, 0)}) WHERE regexp_matches(text, '^[A-Z]')")
+def token_model(spark, sf_dir):
+    """A made model of one label over windows of 64 tokens that share 16, stitched and decoded."""
+    model = MD.TokenModel(_words, _capitals, ("O", "S-name"), {"name": "PERSON"}, window=64, overlap=16)
+    found = MD.with_model(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return D.span_rows(found.select("doc_id", "model_spans"), ["doc_id"], "model_spans").select("doc_id", "text", F.col("start").alias("span_start"))
+
+
+@query(
+    "literal_options",
+    "SELECT doc_id, 'p\\\\\\\"' || doc_id || '\\\\\\\"w9' AS text, 21 AS span_start FROM documents",
+)
+def literal_options(spark, sf_dir):
+    """A quoted option inside a string literal: the value with the characters it has in the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    value = F.concat(F.lit('p\\\\\\"'), F.col("doc_id").cast("string"), F.lit('\\\\\\"w9'))
+    docs = docs.withColumn("text", _planted(F.concat(F.lit('run("db --password=\\"'), value, F.lit('\\" --user x")'))))
+    found = X.with_literals(docs, "text", "literals").withColumn("spans", X.literal_spans(F.col("text"), F.col("literals")))
+    return D.span_rows(found.select("doc_id", "spans"), ["doc_id"]).select("doc_id", "text", F.col("start").alias("span_start"))
+
+
+@query(
+    "error_policy",
+    f"""WITH n AS (SELECT doc_id, count(*) AS n FROM ({Q.rule_sql(EMAIL, 0)}) GROUP BY doc_id)
+    SELECT doc_id, on_error, CASE WHEN fell AND on_error = 'block' THEN '{engine.FAILED}' ELSE '' END AS refused, CASE WHEN fell AND on_error = 'allow' THEN 0 ELSE coalesce(n, 0) END AS n_spans, fell AND on_error = 'allow' AS raw
+    FROM (SELECT doc_id, coalesce(lang = 'en', false) AS fell FROM documents) LEFT JOIN n USING (doc_id), (VALUES ('block'), ('allow')) v(on_error)""",
+)
+def error_policy(spark, sf_dir):
+    """Texts that a further detector failed on (here: those of one language) are refused, or go out raw if that is the policy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("lang") == "en").alias("fell"))
+    parts = []
+    for on_error in ("block", "allow"):
+        out = engine.protect(docs, engine.Protection(rules=(EMAIL,), on_error=on_error), failed="fell")
+        raw = F.coalesce(F.col("fell") & F.col("anonymized").eqNullSafe(F.col("text")), F.lit(False))
+        parts.append(out.select("doc_id", F.lit(on_error).alias("on_error"), F.array_join("refused", ",").alias("refused"), "n_spans", raw.alias("raw")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "batch_counts",
+    f"""WITH i AS ({Q.islands_sql(Q.spans_sql(BASIC))}), m AS (SELECT i.doc_id, d.source, i.entity_type, a, substring(d.text, a + 1, z - a) AS v FROM i JOIN documents d USING (doc_id)),
+    f AS (SELECT doc_id, source, v, arg_min(entity_type, a) AS entity_type FROM m GROUP BY doc_id, source, v)
+    SELECT source, entity_type, count(*) AS n FROM f GROUP BY source, entity_type""",
+)
+def batch_counts(spark, sf_dir):
+    """Counts of a batch whose items have a mapping each: an item's distinct values, summed over the batch."""
+    sent = engine.protect(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), engine.Protection(rules=BASIC, policy=A.Policy()))
+    return engine.count_types(sent, ["source"])
+
+
+@query(
+    "primary_language",
+    f"""SELECT s.doc_id, s.entity_type, s.text, s.a AS span_start FROM ({Q.spans_sql((EMAIL, HOST))}) s JOIN documents d USING (doc_id) WHERE s.src <> 'hosts' OR d.lang = 'en'""",
+)
+def primary_language(spark, sf_dir):
+    """A detector that reads one language's names counts in texts of that language only; patterns count in all."""
+    docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), (EMAIL, HOST))
+    kept = docs.withColumn("spans", D.keep_primary(F.col("spans"), F.col("lang"), "en", ["hosts"]))
+    return D.span_rows(kept, ["doc_id"]).select("doc_id", "entity_type", "text", F.col("start").alias("span_start"))
+
+
+# Each line holds one credential between the marks, which are not part of the text; # stands for a document's digits.
+_FAMILIES = """export PAYMENTS_TOKEN=⟦tok########abcdefgh⟧
+12: + ENV MAIL_SECRET="⟦sec########ret qrstuv⟧"
+DB_PASS=⟦pw########⟧
+SMTP_PWD: ⟦pw2########⟧
+client_secret = '⟦cs########⟧'
+Authorization: Bearer ⟦########abc.def⟧
+found ⟦sk-live########abcdefghijkl⟧
+also ⟦AKIA########ABCDEFGH⟧
+then ⟦eyJhbGci########.eyJzdWIi########.sig########⟧
+run --db-password ⟦pw3########⟧
+get --token="⟦tk ########⟧"
+app --api-key '⟦ak ########⟧'
+⟦-----BEGIN PRIVATE KEY-----
+MII########
+-----END PRIVATE KEY-----⟧
+postgres://u:⟦pu########⟧@h/db
+"""
+
+
+def _families() -> tuple[str, list[tuple[str, int]]]:
+    """The text of _FAMILIES without its marks, and (value, start) of what they hold."""
+    text, values = "", []
+    for i, part in enumerate(_FAMILIES.replace("⟧", "⟦").split("⟦")):
+        if i % 2:
+            values.append((part, len(text)))
+        text += part
+    return text, values
+
+
+_FAMILY_TEXT, _FAMILY_VALUES = _families()
+
+
+@query(
+    "secret_families",
+    "SELECT doc_id, replace(v, '########', lpad(doc_id::VARCHAR, 8, '0')) AS text, a AS span_start FROM documents, (VALUES " + ", ".join("('" + v.replace("'", "''") + f"', {a})" for v, a in _FAMILY_VALUES) + ") f(v, a)",
+)
+def secret_families(spark, sf_dir):
+    """A credential of every family written in front of each document, and the document's own; each is found as it is, merged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = F.replace(F.lit(_FAMILY_TEXT), F.lit("########"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    docs = D.detect(docs.withColumn("text", _planted(planted)), X.SECRET_RULES)
+    found = D.with_merged(docs, M.merge_column(F.col("spans"), F.col("text")))
+    return D.span_rows(found.select("doc_id", "spans"), ["doc_id"]).select("doc_id", "text", F.col("start").alias("span_start"))
+
+
+@query(
+    "event_plans",
+    """WITH c AS (SELECT conv_id * 100 + turn AS request, text FROM conversations)
+    SELECT request, 'messages' AS protocol, 'delta' AS action, 'text:0' AS channel, text AS fragment, '' AS flushed FROM c UNION ALL SELECT request, 'messages', 'delta', 'json:1', text, '' FROM c
+    UNION ALL SELECT request, 'messages', 'verbatim', NULL, NULL, '' FROM c UNION ALL SELECT request, 'messages', 'restore', NULL, NULL, 'text:1,json:1' FROM c
+    UNION ALL SELECT request, 'responses', 'delta', 'response.output_text.delta:i1', text, '' FROM c UNION ALL SELECT request, 'responses', 'restore', NULL, NULL, 'response.output_text.delta:i1' FROM c
+    UNION ALL SELECT request, 'responses', 'verbatim', NULL, NULL, '' FROM c""",
+)
+def event_plans(spark, sf_dir):
+    """What a restorer does with events of two protocols: text and arguments on channels of their own, thinking kept."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("request"), "text")
+    block = lambda i, kind, name: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(i).alias("index"), F.struct(F.lit(kind).alias("type"), F.col("text").alias(name)).alias("delta")))
+    item = lambda kind, name: F.to_json(F.struct(F.lit(f"response.{kind}").alias("type"), F.lit("i1").alias("item_id"), F.col("text").alias(name)))
+    events = F.array(
+        *[F.struct(F.lit("messages").alias("protocol"), d.alias("data")) for d in (block(0, "text_delta", "text"), block(1, "input_json_delta", "partial_json"), block(2, "thinking_delta", "thinking"), F.lit('{"type": "content_block_stop", "index": 1}'))],
+        *[F.struct(F.lit("responses").alias("protocol"), d.alias("data")) for d in (item("output_text.delta", "delta"), item("output_text.done", "text"), item("reasoning_text.delta", "delta"))],
+    )
+    plan = EV.plan(rows.select("request", F.inline(events)), "data", "protocol")
+    return plan.select("request", "protocol", "action", "channel", "fragment", F.array_join("flush", ",").alias("flushed"))
