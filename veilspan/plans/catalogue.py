@@ -119,14 +119,20 @@ def merge_union_fold(spark, sf_dir):
     return rows.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score", F.col("source").alias("detector"), "text")
 
 
-@query("merge_longest_span")
+@query("merge_longest_span", f"SELECT {_MERGED} FROM ({Q.fold_sql(Q.spans_sql(OVERLAPPING), 'f.z - f.a >= s.z - s.a')})")
 def merge_longest_span(spark, sf_dir):
     return _merged_shown(_folded(spark, sf_dir, resolution="longest_span"))
 
 
-@query("merge_presidio_priority")
+# The source that this resolution prefers, with a score below those of the spans around it.
+PREFERRED = D.Rule("host", "HOST", HOST.pattern, 0.3, "presidio", needs="mail")
+_PREFERRED = (*BASIC, DIGITS, ASSIGN, PREFERRED, WIDE)
+_PREFERS = "CASE WHEN (f.src = 'presidio') <> (s.src = 'presidio') THEN f.src = 'presidio' ELSE f.score >= s.score END"
+
+
+@query("merge_presidio_priority", f"SELECT {_MERGED} FROM ({Q.fold_sql(Q.spans_sql(_PREFERRED), _PREFERS)})")
 def merge_presidio_priority(spark, sf_dir):
-    return _merged_shown(_folded(spark, sf_dir, resolution="presidio_priority"))
+    return _merged_shown(_folded(spark, sf_dir, _PREFERRED, resolution="presidio_priority"))
 
 
 _PRIORITY = M.type_priorities(blocked=("CREDIT_CARD",), irreversible=("SECRET", "EMAIL_ADDRESS"))
@@ -457,16 +463,25 @@ def token_windows(spark, sf_dir):
     return rows.select("doc_id", "window_no", F.col("_r.first").alias("first_token"), F.col("_r.last").alias("last_token"), "covered")
 
 
-@query("char_windows")
+@query(
+    "char_windows",
+    """WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS c, 0 AS window_no, 0 AS o FROM documents WHERE text IS NOT NULL UNION ALL
+    SELECT doc_id, text, c, window_no + 1, greatest(cut - 200, o + 1) FROM (SELECT *, CASE WHEN gap > 0 AND o + 1500 - gap > o THEN o + 1500 - gap ELSE o + 1500 END AS cut
+        FROM (SELECT *, strpos(reverse(substring(text, o + 1301, 200)), ' ') AS gap FROM w) WHERE o + 1500 < c))
+    SELECT doc_id, window_no, o AS "offset", substring(text, o + 1, CASE WHEN o + 1500 < c AND gap > 0 THEN 1500 - gap ELSE 1500 END) AS chunk
+    FROM (SELECT *, strpos(reverse(substring(text, o + 1301, 200)), ' ') AS gap FROM w)""",
+)
 def char_windows(spark, sf_dir):
     return N.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "window_no", "offset", "chunk")
 
 
-_TOKENS = """SELECT doc_id, pos, w, CASE WHEN upper(w[1]) <> lower(w[1]) AND w[1] = upper(w[1]) THEN 'B-cap' WHEN length(w) > 8 THEN 'I-cap' ELSE 'O' END AS label
-    FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents) WHERE w <> ''"""
-
-
-@query("tag_islands")
+@query(
+    "tag_islands",
+    """WITH t AS (SELECT doc_id, pos, length(w) / 10::DOUBLE AS score, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'B' WHEN length(w) > 8 THEN 'I' ELSE 'O' END AS tag
+        FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents) WHERE w <> ''),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN tag = 'I' AND coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY pos), 'O') <> 'O' THEN 0 ELSE 1 END AS fresh FROM t))
+    SELECT doc_id, 'cap' AS entity_type, min(pos)::INT AS span_start, (max(pos) + 1)::INT AS span_end, round(avg(score), 6) AS score FROM i WHERE tag <> 'O' GROUP BY doc_id, island""",
+)
 def tag_islands(spark, sf_dir):
     """Spans of BIO labels given by a rule to each word, decoded by gaps and islands."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w")).where("w <> ''")

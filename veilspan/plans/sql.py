@@ -45,6 +45,19 @@ def islands_sql(spans: str, key: str = "doc_id", priority: str = "0") -> str:
     GROUP BY {key}, island"""
 
 
+def fold_sql(spans: str, keeps: str) -> str:
+    """Merged spans as ``islands_sql`` gives them, folded one by one: ``keeps`` says when the span so far, f, keeps its
+    label against the next one, s, of another type."""
+    won = f"CASE WHEN f.entity_type = s.entity_type THEN f.score >= s.score ELSE {keeps} END"
+    label = lambda c: f"CASE WHEN s.a < f.z AND ({won}) THEN f.{c} ELSE s.{c} END"
+    return f"""
+    WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, z DESC, rule_no, match_no) AS n FROM ({spans})),
+    f AS (SELECT doc_id, n, 0 AS island, entity_type, a, z, score, src FROM s WHERE n = 1 UNION ALL
+          SELECT s.doc_id, s.n, f.island + CASE WHEN s.a < f.z THEN 0 ELSE 1 END, {label("entity_type")}, CASE WHEN s.a < f.z THEN f.a ELSE s.a END, greatest(f.z, s.z), {label("score")}, {label("src")}
+          FROM f JOIN s ON s.doc_id = f.doc_id AND s.n = f.n + 1)
+    SELECT doc_id, arg_max(entity_type, n) AS entity_type, min(a) AS a, max(z) AS z, arg_max(score, n) AS score, arg_max(src, n) AS src FROM f GROUP BY doc_id, island"""
+
+
 def rebuilt_sql(swaps: str) -> str:
     """(doc_id, out) from swaps (doc_id, a, z, fake) that do not overlap, for documents that have any."""
     return f"""
