@@ -2,7 +2,8 @@
 
 Each row is a request of its own, and every step works inside the row: detect, drop what the policy doesn't look
 for, fit to the syntax, merge, let allowed values through, find further copies of known credentials, hold against
-the block list, replace. A plan of it is one scan with one Python step for the fitting of texts that have spans.
+the block list, replace. A plan of it is one scan with Python steps for the fitting of texts that have spans, for string
+literals that hold options and for copies of credentials.
 Requests of several rows go by the tables of ``operators.anonymize``.
 """
 
