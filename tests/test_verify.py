@@ -32,3 +32,15 @@ def test_command(spark, tmp_path, capsys):
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"preset": "light", "disabled_rules": ["email"]}))
     assert verify.main(["--config", str(config)], spark) == 1
+
+
+def test_what_stands_in_the_way(spark):
+    from pyspark.sql import functions as F
+
+    from veilspan.operators import policy as P
+    from veilspan.operators.merge import merge_column
+
+    host = D.Rule("host", "HOST", r"[a-z]+\.test", 0.9, "hosts")
+    df = D.detect(spark.createDataFrame([(1, "a@mail.test and mail.test and b@other.test"), (2, "c@other.test"), (3, ""), (4, None)], "id int, text string"), (D.BY_NAME["email"], host))
+    out = df.select("id", P.not_allowed(merge_column(F.col("spans"), F.col("text")), F.col("spans"), [P.AllowRule(value="mail.test", entity_types=("HOST",))]).alias("b"))
+    assert {r.id: [s.text for s in r.b] for r in out.collect()} == {1: ["a@mail.test"], 2: [], 3: [], 4: []}

@@ -89,6 +89,16 @@ def let_through(span: Column, raw: Column, rules: Iterable[AllowRule], protected
     return (F.size(met) > 0) & F.forall(met, lambda r: allowed(r["entity_type"], r["text"], rules, protected))
 
 
+def not_allowed(merged: Column, raw: Column, rules: Iterable[AllowRule], protected: Iterable[str] = ()) -> Column:
+    """The raw spans that no rule allows under a merged span that holds an allowed one: why a listed value is still
+    replaced. Both are arrays of one text's spans; the order is that of ``raw``."""
+    rules, protected = list(rules), list(protected)
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ok = lambda r: allowed(r["entity_type"], r["text"], rules, protected)
+    held = F.filter(merged, lambda m: F.exists(raw, lambda r: meet(r, m) & ok(r)))
+    return F.filter(raw, lambda r: ~ok(r) & F.exists(held, lambda m: meet(r, m)))
+
+
 def block_gate(rows: DataFrame, request: str, ordinal: str, blocked: Iterable[str]) -> DataFrame:
     """(request, blocked_types): requests with a blocked type, with the types of their first offending text only."""
     hit = rows.where(F.col("entity_type").isin(*blocked)).groupBy(request, ordinal).agg(F.sort_array(F.collect_set("entity_type")).alias("_types"))

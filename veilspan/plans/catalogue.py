@@ -846,3 +846,20 @@ def event_plans(spark, sf_dir):
     )
     plan = EV.plan(rows.select("request", F.inline(events)), "data", "protocol")
     return plan.select("request", "protocol", "action", "channel", "fragment", F.array_join("flush", ",").alias("flushed"))
+
+
+_BLOCKERS = (EMAIL, HOST, WIDE, DIGITS)
+
+
+@query(
+    "allow_list_blockers",
+    f"""WITH s AS ({Q.spans_sql(_BLOCKERS)}), i AS ({Q.islands_sql("SELECT * FROM s")}), held AS (SELECT DISTINCT i.* FROM i JOIN s ON s.doc_id = i.doc_id AND s.a < i.z AND i.a < s.z AND s.entity_type = 'HOST')
+    SELECT DISTINCT s.doc_id, s.entity_type, s.text, s.a AS span_start, s.z AS span_end FROM s JOIN held h ON s.doc_id = h.doc_id AND s.a < h.z AND h.a < s.z WHERE s.entity_type <> 'HOST'""",
+)
+def allow_list_blockers(spark, sf_dir):
+    """Why an allowed host is still replaced: the address and the contact that it was found in."""
+    rule = P.AllowRule(pattern=HOST.pattern, entity_types=("HOST",))
+    docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), _BLOCKERS, out="raw").where(F.size("raw") > 0)
+    docs = S.computed_once(docs, M.merge_column(F.col("raw"), F.col("text")), "merged")
+    found = docs.select("doc_id", P.not_allowed(F.col("merged"), F.col("raw"), [rule]).alias("spans"))
+    return _shown(D.span_rows(found, ["doc_id"]))
