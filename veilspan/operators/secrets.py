@@ -40,8 +40,8 @@ def _is_value(text):
     return ~text.rlike(r"^(?:<.*>|\$.*|[A-Z][A-Z_]*|[a-z]{1,12}|\[.*\])[.,;)]?$")
 
 
-def _rule(name, pattern, prefix="", suffix="", check=None, score=0.95):
-    return Rule(name, "SECRET", pattern, score, SOURCE, prefix, suffix, check=check)
+def _rule(name, pattern, prefix="", suffix="", check=None, score=0.95, needs=""):
+    return Rule(name, "SECRET", pattern, score, SOURCE, prefix, suffix, check=check, needs=needs)
 
 
 SECRET_RULES: tuple[Rule, ...] = (
@@ -51,15 +51,15 @@ SECRET_RULES: tuple[Rule, ...] = (
     _rule("variable", _BARE, rf"{_LINE}[A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY){_EQ}", check=_opaque),
     _rule("variable, quoted", _Q, rf"{_LINE}[A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY){_EQ}\"", r"\"", check=_opaque),
     _rule("pass variable", _BARE, rf"{_LINE}(?:[A-Z][A-Z0-9_]*PASS|[A-Z][A-Z0-9_]*_PWD){_EQ}"),
-    _rule("uri password", r"[^\s/@\"'<>]+", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:", "@"),
+    _rule("uri password", r"[^\s/@\"'<>]+", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:", "@", needs="://"),
     _rule("authorization", r"[A-Za-z0-9._~+/=-]{6,}", r"(?i:authorization)[\"']?\]?[ \t]*[:=][ \t]*[\"']?(?i:bearer|basic)[ \t]+"),
     _rule("provider key", r"(?:sk-[A-Za-z0-9_-]{20,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|hf_[A-Za-z0-9]{30,})"),
-    _rule("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"),
-    _rule("web token", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?"),
+    _rule("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", needs="PRIVATE KEY-----"),
+    _rule("web token", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?", needs="eyJ"),
     # A backslash right before a quote or a space belongs to the literal around the command, not to the value.
-    _rule("option", r"(?:[^\s\"'`\\]|\\++(?![\s\"'`]|\z))+", rf"{_OPTION}(?:=|[ \t]+)", check=_is_value),
-    _rule("option, double quotes", _Q, rf"{_OPTION}(?:=|[ \t]+)\"", r"\""),
-    _rule("option, single quotes", _Q1, rf"{_OPTION}(?:=|[ \t]+)'", "'"),
+    _rule("option", r"(?:[^\s\"'`\\]|\\++(?![\s\"'`]|\z))+", rf"{_OPTION}(?:=|[ \t]+)", check=_is_value, needs="--"),
+    _rule("option, double quotes", _Q, rf"{_OPTION}(?:=|[ \t]+)\"", r"\"", needs="--"),
+    _rule("option, single quotes", _Q1, rf"{_OPTION}(?:=|[ \t]+)'", "'", needs="--"),
 )
 
 #: The rules that are read inside literals.
