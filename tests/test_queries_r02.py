@@ -21,3 +21,13 @@ def test_every_address_is_let_through_by_value(spark, tmp_path):
     rows = [(i, f"from {ip} on", "en", "s") for i, ip in enumerate(ips)] + [(50, f'token = "{"0a" * 20}" 1.2.3.4', "en", "s"), (51, None, "en", "s")]
     got, want = both(spark, tmp_path, "allow_list_secrets", rows)
     assert got == want and len(got) == len(ips) + 2
+
+
+def test_windows_cut_no_address(spark, tmp_path):
+    """Addresses at every place against the windows' borders, in texts of long words and without spaces."""
+    mail = lambda i: f"jo.{i}.doe@mail{i}.example.com"
+    texts = [("ab " * 500)[:k] + " " + mail(k) + " cd" * 900 for k in range(1250, 1500, 7)]
+    texts += [",".join(mail(i) for i in range(300)), ("x" * 90 + " ") * 14 + "y" * 300 + "@" + "z" * 60 + ".com end " + "w" * 1400 + " " + mail(1) + " v" * 900]
+    texts += ["q" * 4000 + " " + mail(2), "q" * 700 + ";" + mail(3) + ";" + "r" * 2000, " " * 3200 + mail(4), "", None]
+    got, want = both(spark, tmp_path, "window_detect", [(i, t, "en", "s") for i, t in enumerate(texts)])
+    assert got == want and len(got) > 330
