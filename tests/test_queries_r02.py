@@ -2,6 +2,7 @@
 
 import duckdb
 
+from veilspan.operators import policy as P
 from veilspan.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -31,3 +32,13 @@ def test_windows_cut_no_address(spark, tmp_path):
     texts += ["q" * 4000 + " " + mail(2), "q" * 700 + ";" + mail(3) + ";" + "r" * 2000, " " * 3200 + mail(4), "", None]
     got, want = both(spark, tmp_path, "window_detect", [(i, t, "en", "s") for i, t in enumerate(texts)])
     assert got == want and len(got) > 330
+
+
+def test_no_copy_of_a_found_value_is_left(spark, tmp_path):
+    """Copies that the detectors read as part of something else: in a run of digits, in a word, more than once."""
+    card, ip, mail = "4845168114407329", "25.178.32.13", "ann.lee@mail3.example.com"
+    texts = [f"au {card} èai.\nDe 7536784127813050 {card} tre", f"{card} 1{card}{card}5 {card}", f"{ip} then 999.{ip} 1.1.1.{ip}.2", f"{mail} x{mail} {mail}é", f"<IP_ADDRESS_1> {ip} 256.{ip}", "none", "", None]
+    got, want = both(spark, tmp_path, "protect_round_trip", [(i, t, "en", "s") for i, t in enumerate(texts)])
+    assert got == want
+    found = P.repeats_in_text("aba ab abab", [{"entity_type": "X", "text": "aba", "start": 0, "end": 3, "score": 0.5, "source": "rules"}, {"entity_type": "Y", "text": "ab", "start": 4, "end": 6, "score": 0.5, "source": "rules"}])
+    assert [(s["text"], s["start"], s["entity_type"]) for s in found] == [("aba", 0, "X"), ("ab", 4, "Y"), ("aba", 7, "X")]

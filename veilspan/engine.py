@@ -1,8 +1,8 @@
 """One call from texts and a policy to what may be sent on.
 
 Each row is a request of its own, and every step works inside the row: detect, drop what the policy doesn't look
-for, fit to the syntax, merge, let allowed values through, find further copies of known credentials, hold against
-the block list, replace. A plan of it is one scan with Python steps for the fitting of texts that have spans, for string
+for, fit to the syntax, merge, let allowed values through, find further copies of known credentials (on request, of
+every found value), hold against the block list, replace. A plan of it is one scan with Python steps for the fitting of texts that have spans, for string
 literals that hold options and for copies of credentials.
 Requests of several rows go by the tables of ``operators.anonymize``.
 """
@@ -21,7 +21,7 @@ from veilspan.functions.spans import SPANS, computed_once
 from veilspan.operators import anonymize as A
 from veilspan.operators.detect import COMMON, Rule, above, detect_column, keep_types
 from veilspan.operators.merge import merge_column, type_priorities
-from veilspan.operators.policy import AllowRule, known_in_text, let_through
+from veilspan.operators.policy import AllowRule, known_in_text, let_through, repeats_in_text
 from veilspan.operators.refine import refine
 from veilspan.operators.secrets import OPTION_RULES, literal_spans, with_literals
 
@@ -43,6 +43,8 @@ class Protection:
     resolution: str = "highest_score"
     fit: bool = True
     propagate: bool = True
+    #: Every further copy of a found value is replaced too, wherever it stands; so ``leaks`` finds nothing.
+    repeats: bool = False
     on_error: str = "block"
     irreversible: tuple[str, ...] = field(init=False)
 
@@ -56,6 +58,11 @@ class Protection:
         return Protection(config.rules(), config.policy(), config.allow_rules(), config.block_types, None, 0.0, config.strategy, config.resolution, on_error=config.on_error)
 
 
+@F.pandas_udf(SPANS)
+def _repeats(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([repeats_in_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
 @F.pandas_udf(SPANS)
 def _known_copies(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([known_in_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
@@ -89,6 +96,8 @@ def find(df: DataFrame, protection: Protection, text_col: str = "text", lang_col
         secret = F.exists(out, lambda e: e["entity_type"] == "SECRET")
         found = computed_once(found, F.when(secret, _known_copies(text, F.col(out))).otherwise(F.array().cast(SPANS)), "_copies")
         found = computed_once(found, F.when(F.size("_copies") > 0, merge(F.concat(out, "_copies"))).otherwise(F.col(out)), out).drop("_copies")
+    if p.repeats:
+        found = computed_once(found, F.when(F.size(out) > 0, _repeats(text, F.col(out))).otherwise(F.col(out)), out)
     return found
 
 

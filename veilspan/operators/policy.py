@@ -159,3 +159,31 @@ def known_in_text(text: str | None, spans) -> list[dict]:
                 out.append({"entity_type": kind, "text": value, "start": at, "end": end, "score": 1.0, "source": "known"})
             at = text.find(value, end)
     return out
+
+
+def repeats_in_text(text: str | None, spans) -> list | None:
+    """The merged ``spans`` of a text and, in their order, a span of source ``known`` for every other copy of one of
+    their values, even inside a longer word: the longest value first, then from left to right."""
+    if text is None or spans is None:
+        return spans
+    out = [dict(s) for s in spans]
+    # What has been found is blotted out by a character that the text doesn't hold, so places stay.
+    blot = next(c for c in map(chr, range(0x110000)) if c not in text)
+    parts, at = [], 0
+    for s in out:
+        parts += [text[at : s["start"]], blot * (s["end"] - s["start"])]
+        at = s["end"]
+    rest = "".join([*parts, text[at:]])
+    kinds: dict[str, str] = {}
+    for s in reversed(out):
+        if s["text"]:
+            kinds.setdefault(s["text"], s["entity_type"])
+    for value in sorted(kinds, key=len, reverse=True):
+        at = rest.find(value)
+        if at < 0:
+            continue
+        while at >= 0:
+            out.append({"entity_type": kinds[value], "text": value, "start": at, "end": at + len(value), "score": 1.0, "source": "known"})
+            at = rest.find(value, at + len(value))
+        rest = rest.replace(value, blot * len(value))
+    return sorted(out, key=lambda s: s["start"])

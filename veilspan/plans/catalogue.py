@@ -574,7 +574,7 @@ def protect_documents(spark, sf_dir):
 @query("protect_round_trip", "SELECT doc_id, text AS restored, 0 AS n_leaks FROM documents")
 def protect_round_trip(spark, sf_dir):
     """Protected, searched for leaks and put back, each document by its own values."""
-    sent = engine.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), engine.Protection(rules=BASIC, policy=A.Policy()))
+    sent = engine.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), engine.Protection(rules=BASIC, policy=A.Policy(), repeats=True))
     back = engine.restore(sent, "anonymized")
     leaking = F.size(F.filter("originals", lambda v: F.contains("anonymized", v)))
     return back.select("doc_id", "restored", leaking.alias("n_leaks"))
