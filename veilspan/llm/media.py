@@ -229,14 +229,21 @@ def _agreeing(met: DataFrame, shown: DataFrame) -> DataFrame:
     return votes.select("u", "v").distinct()
 
 
-def copy_links(features_: DataFrame) -> DataFrame:
-    """(u, v) with u < v: links enough to join all images that a chain of pairs with AGREE agreeing matches joins.
-
-    First every image is held against the smallest id under each of its keys, so a group of n copies gives about
-    n links and not all its pairs. Then, under keys whose images are still apart, the pairs that are apart meet;
-    all keys that such a pair shares are among these, so no pair's votes are cut short. An image with fewer than
-    AGREE features under such keys can have no further link and is left out before the pairs are made: a mark
-    that very many otherwise different images share costs no pairs.
+def _able(rows: DataFrame) -> DataFrame:
+    """The entries of images that have AGREE features or more among them."""
+    able = rows.groupBy("_id").agg(F.count_distinct("k").alias("_n")).where(F.col("_n") >= AGREE).select(F.col("_id").alias("_able"))
+    return rows.join(able, F.col("_id") == F.col("_able"), "left_semi")
+
+
+def copy_links(features_: DataFrame, every: bool = False) -> DataFrame:
+    """(u, v) with u < v: links enough to join all images that a chain of pairs with AGREE agreeing matches joins, or
+    with ``every`` all such pairs.
+
+    All pairs meet under their keys at once; an image with fewer than AGREE features under keys that it shares can't
+    be the u of a pair, whose features are counted: a mark that very many otherwise different images share costs no
+    pairs. For enough links, first every image is held against the smallest id under each of its keys, so a group of n
+    copies gives about n links. Then, under keys whose images are still apart, the pairs that are apart meet;
+    all keys that such a pair shares are among these, so no pair's votes are cut short.
     """
     one = features_.select("_id", F.posexplode("_f").alias("k", "f")).select("_id", "k", "f.*")
     rows = one.select("_id", "k", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col(w)) for t, w in enumerate(WORDS)])).alias("key"))
@@ -248,6 +255,12 @@ def copy_links(features_: DataFrame) -> DataFrame:
     shown = stage_table(one.join(wanted, (F.col("_id") == F.col("_w")) & (F.col("k") == F.col("_wk")), "left_semi"), "shown")
     heads = rows.where("_id = head").select("key", "parts", F.col("_id").alias("u"), F.col("k").alias("uk"))
     others = rows.where("_id > head").select("key", "parts", F.col("_id").alias("v"), F.col("k").alias("vk"))
+    if every:
+        left, right = rows.select("key", "parts", F.col("_id").alias("v"), F.col("k").alias("vk")), _able(rows).select("key", "parts", F.col("_id").alias("u"), F.col("k").alias("uk"))
+        out = stage_table(_agreeing(_dealt(left, right, F.col("u") < F.col("v")), shown), "links")
+        for done in (rows, shown):
+            drop_table(done)
+        return out
     links = stage_table(_agreeing(_dealt(others, heads, F.lit(True)), shown), "star")
     if links.isEmpty():
         open_ = rows.select("key", "parts", "_id", "k", F.col("_id").alias("label"))
@@ -255,14 +268,11 @@ def copy_links(features_: DataFrame) -> DataFrame:
         labels = components(links)
         of = labels.select(F.col("node").alias("_x"), F.col("label").alias("_y"))
         open_ = rows.select("key", "parts", "_id", "k").join(of, F.col("_id") == F.col("_x"), "left").select("key", "parts", "_id", "k", F.coalesce("_y", "_id").alias("label"))
-    # Twice: leaving images out brings more keys to one label.
     same = W.partitionBy("key")
-    for _ in range(2):
-        open_ = open_.select("*", F.min("label").over(same).alias("_a"), F.max("label").over(same).alias("_b")).where("_a < _b").drop("_a", "_b")
-        able = open_.groupBy("_id").agg(F.count_distinct("k").alias("_n")).where(F.col("_n") >= AGREE).select(F.col("_id").alias("_able"))
-        open_ = stage_table(open_.join(able, F.col("_id") == F.col("_able"), "left_semi"), "open")
+    open_ = open_.select("*", F.min("label").over(same).alias("_a"), F.max("label").over(same).alias("_b")).where("_a < _b").drop("_a", "_b")
+    open_ = stage_table(open_, "open")
     left = open_.select("key", "parts", F.col("_id").alias("v"), F.col("k").alias("vk"), F.col("label").alias("_lv"))
-    right = open_.select("key", "parts", F.col("_id").alias("u"), F.col("k").alias("uk"), F.col("label").alias("_ru"))
+    right = _able(open_).select("key", "parts", F.col("_id").alias("u"), F.col("k").alias("uk"), F.col("label").alias("_ru"))
     more = _agreeing(_dealt(left, right, (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_lv"))), shown)
     out = stage_table(links.unionByName(more).distinct(), "links")
     for done in (rows, shown, links, open_):
@@ -273,8 +283,8 @@ def copy_links(features_: DataFrame) -> DataFrame:
 def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
     """One row per input row: id, n_features, component_id (smallest id reached over copies), n_links.
 
-    ``image`` is a binary PGM. Byte-equal images are one class, compared once; ``n_links`` counts the links of
-    the row's class that join its component (see ``copy_links``). A null, empty, broken or too small image has no
+    ``image`` is a binary PGM. Byte-equal images are one class, compared once; ``n_links`` counts all links of
+    the row's class with other classes (see ``copy_links``). A null, empty, broken or too small image has no
     features and is linked only with byte-equal ones (null and empty: with nothing). Ids are integers; rows
     without an id stay apart. Repeated rows get the same result; other columns are not read; an empty table
     gives no rows.
@@ -283,7 +293,7 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     first = found.where(F.col("_pixels").isNotNull() & F.col("_id").isNotNull()).groupBy("_pixels").agg(F.min("_id").alias("_rep"))
     first = stage_table(first, "classes")
     shown = found.join(first.select(F.col("_rep"), F.col("_pixels").alias("_p")), (F.col("_id") == F.col("_rep")) & (F.col("_pixels") == F.col("_p"))).dropDuplicates(["_id", "_pixels"]).select("_id", "_f")
-    links = copy_links(shown)
+    links = copy_links(shown, every=True)
     ends = links.select(F.col("u").alias("_e")).union(links.select("v")).groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
     rows = found.select("_id", F.size("_f").cast("long").alias("n_features"), "_pixels").join(first.select(F.col("_pixels").alias("_p"), "_rep"), F.col("_id").isNotNull() & (F.col("_pixels") == F.col("_p")), "left")
     rows = rows.join(ends, F.col("_rep") == F.col("_e"), "left")
