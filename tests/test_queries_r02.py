@@ -1,8 +1,14 @@
 """Queries against their SQL on rows that the given tables don't hold."""
 
+import random
+import re
+import time
+from difflib import SequenceMatcher
+
 import duckdb
 
 from veilspan.operators import policy as P
+from veilspan.operators import restore as R
 from veilspan.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -42,3 +48,39 @@ def test_no_copy_of_a_found_value_is_left(spark, tmp_path):
     assert got == want
     found = P.repeats_in_text("aba ab abab", [{"entity_type": "X", "text": "aba", "start": 0, "end": 3, "score": 0.5, "source": "rules"}, {"entity_type": "Y", "text": "ab", "start": 4, "end": 6, "score": 0.5, "source": "rules"}])
     assert [(s["text"], s["start"], s["entity_type"]) for s in found] == [("aba", 0, "X"), ("ab", 4, "Y"), ("aba", 7, "X")]
+
+
+def plain_near_misses(text, table, threshold):
+    """Every run of words against every fake."""
+    cores = [(m.end() - len(m[0].lstrip(R._EDGES)), m.start() + len(m[0].rstrip(R._EDGES))) for m in re.finditer(r"\S+", text)]
+    found = []
+    for rank, fake in enumerate(sorted((f for f in table if f.strip()), key=len, reverse=True)):
+        for (lo, _), (_, hi) in zip(cores, cores[len(fake.split()) - 1 :], strict=False):
+            said = text[lo:hi]
+            if lo < hi and said not in table and not R.is_placeholder(said) and said != table[fake]:
+                if SequenceMatcher(None, " ".join(said.split()).lower(), fake.lower()).ratio() >= threshold:
+                    found.append((rank, lo, hi, table[fake]))
+    chosen = []
+    for _, lo, hi, original in sorted(found):
+        if all(hi <= a or z <= lo for a, z, _ in chosen):
+            chosen.append((lo, hi, original))
+    return sorted(chosen)
+
+
+def test_near_misses_are_those_of_all_comparisons():
+    r = random.Random(5)
+    kinds = ("EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER")
+    table = {f"<{k}_{i}>": f"v{i}.{k[0]}" for k in kinds for i in range(1, 13)} | {"Michel Deus": "Jean Eude", "Ann  Lee": "Bo", "İdil": "Zoë"}
+    words = ["(EMAIL_ADDRESS_3)", "email_adress_4", "IP_ADDRES_11", "<IP_ADDRESS_99>", "Michel", "Deu,", "Ann", "Lee.", "v3.E", "phone_number_7>", "i̇dil", "plain", "le", "<PHONE_NUMBER_2", "..."]
+    for _ in range(150):
+        text = " ".join(r.choices(words, k=r.randint(0, 12)))
+        for threshold in (0.6, 0.85, 0.9):
+            assert R.near_misses(text, table, threshold) == plain_near_misses(text, table, threshold)
+
+
+def test_ordinary_words_are_not_compared_with_every_fake():
+    table = {f"<EMAIL_ADDRESS_{i}>": f"a{i}@b.test" for i in range(2000)}
+    fakes = R.Fakes(table, 0.85)
+    began = time.process_time()
+    assert fakes.near_misses(" ".join(f"word{i % 50}oianeuxment oianeux" for i in range(20000))) == [] and len(fakes.known) == 50
+    assert time.process_time() - began < 5

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -35,6 +37,8 @@ def restore(df: DataFrame, mapping: DataFrame, request: str, text_col: str, out:
     return joined.select(*names, restore_column(F.col(text_col), F.col("_map")).alias(out))
 
 
+#: Tables that a worker keeps ready.
+TABLES = 64
 # Fixed value: sentence punctuation that may surround a retyped value.
 _EDGES = ".,;:!?\"'()[]{}«»…"
 
@@ -52,55 +56,117 @@ def is_placeholder(said: str) -> bool:
     return plain and number.isdigit() and said[0] == "<" and said[-1] == ">"
 
 
-def _alike(a: str, b: str, threshold: float) -> bool:
-    """SequenceMatcher's ratio reaches the threshold; most pairs fail on its cheap upper bounds."""
-    if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
-        return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+class Fakes:
+    """The fakes of one table made ready for many texts: what one word is near to is worked out once."""
+
+    #: Words whose answers are kept.
+    KEPT = 100_000
+
+    def __init__(self, table: dict[str, str], threshold: float):
+        self.table, self.threshold = table, threshold
+        fakes = sorted((f for f in table if f), key=len, reverse=True)
+        self.exact = re.compile("|".join(map(re.escape, fakes))) if fakes else None
+        # By words and length: the most that any of the fakes holds of each character, and the fakes.
+        self.groups: dict[int, dict[int, tuple[Counter, list]]] = {}
+        for rank, fake in enumerate(sorted((f for f in table if f.strip()), key=len, reverse=True)):
+            low = fake.lower()
+            count = Counter(low)
+            most, of = self.groups.setdefault(len(fake.split()), {}).setdefault(len(low), (Counter(), []))
+            most |= count
+            of.append((rank, fake, count, SequenceMatcher(None, "", low)))
+        self.known: dict[tuple[int, str], list[tuple[int, str]]] = {}
+        # Lengths of a single word at which the ratio to any fake of one word can reach the threshold.
+        sizes = self.groups.get(1, {})
+        longest = int(2 * max(sizes, default=0) / threshold) + 2 if threshold > 0 else 0
+        self.lengths = frozenset(n for n in range(longest) if any(2.0 * min(n, size) / (n + size) >= threshold for size in sizes)) if threshold > 0 else None
+
+    def restored(self, text: str) -> str:
+        return self.exact.sub(lambda m: self.table[m[0]], text) if self.exact else text
+
+    def near(self, width: int, said: str) -> list[tuple[int, str]]:
+        """(rank, original) of the fakes of ``width`` words that ``said`` nearly spells."""
+        if (width, said) not in self.known:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[width, said] = self._near(width, said)
+        return self.known[width, said]
+
+    def _near(self, width: int, said: str) -> list[tuple[int, str]]:
+        if said in self.table or is_placeholder(said):
+            return []
+        plain = " ".join(said.split()).lower()
+        count, out = Counter(plain), []
+        shared = lambda other: sum(min(n, other[c]) for c, n in count.items())
+        for size, (most, fakes) in self.groups[width].items():
+            # SequenceMatcher's ratio is at most twice the characters in common by both lengths. Each quotient here is
+            # formed as SequenceMatcher forms its own, so none is rounded differently.
+            both = len(plain) + size
+            if 2.0 * min(len(plain), size) / both < self.threshold or 2.0 * shared(most) / both < self.threshold:
+                continue
+            for rank, fake, held, matcher in fakes:
+                if said != self.table[fake] and 2.0 * shared(held) / both >= self.threshold:
+                    matcher.set_seq1(plain)
+                    if matcher.ratio() >= self.threshold:
+                        out.append((rank, self.table[fake]))
+        return out
+
+    def near_misses(self, text: str) -> list[tuple[int, int, str]]:
+        cores = []
+        for m in re.finditer(r"\S+", text):
+            word = m[0].lstrip(_EDGES)
+            cores.append((m.end() - len(word), m.start() + len(m[0].rstrip(_EDGES))))
+        found = []
+        for width in self.groups:
+            for (lo, _), (_, hi) in zip(cores, cores[width - 1 :], strict=False):
+                said = text[lo:hi]
+                if lo >= hi or (width == 1 and self.lengths is not None and len(said.lower()) not in self.lengths):
+                    continue
+                found += [(rank, lo, hi, original) for rank, original in self.near(width, said)]
+        # The chosen runs don't overlap, so their order by start is that by end.
+        chosen: list[tuple[int, int, str]] = []
+        for _, lo, hi, original in sorted(found):
+            at = bisect_left(chosen, (lo,))
+            if (at == 0 or chosen[at - 1][1] <= lo) and (at == len(chosen) or hi <= chosen[at][0]):
+                chosen.insert(at, (lo, hi, original))
+        return chosen
+
+    def restored_nearly(self, text: str) -> str:
+        text, out, at = self.restored(text), [], 0
+        for lo, hi, original in self.near_misses(text):
+            out += [text[at:lo], original]
+            at = hi
+        return "".join([*out, text[at:]])
 
 
 def near_misses(text: str, table: dict[str, str], threshold: float) -> list[tuple[int, int, str]]:
     """(start, end, original) of runs of words that nearly spell a fake and don't overlap: the longest fake has
     its choice first, then the leftmost place. Placeholder shapes, fakes and originals themselves are no misses."""
-    cores = []
-    for m in re.finditer(r"\S+", text):
-        word = m[0].lstrip(_EDGES)
-        cores.append((m.end() - len(word), m.start() + len(m[0].rstrip(_EDGES))))
-    by_width: dict[int, list[tuple[int, str]]] = {}
-    ranked = sorted((f for f in table if f.strip()), key=len, reverse=True)
-    for rank, fake in enumerate(ranked):
-        by_width.setdefault(len(fake.split()), []).append((rank, fake))
-    found = []
-    for width, fakes in by_width.items():
-        for (lo, _), (_, hi) in zip(cores, cores[width - 1 :], strict=False):
-            said = text[lo:hi]
-            if lo >= hi or said in table or is_placeholder(said):
-                continue
-            plain = " ".join(said.split()).lower()
-            found += [(rank, lo, hi, table[f]) for rank, f in fakes if said != table[f] and _alike(plain, f.lower(), threshold)]
-    chosen: list[tuple[int, int, str]] = []
-    for _, lo, hi, original in sorted(found):
-        if all(hi <= a or z <= lo for a, z, _ in chosen):
-            chosen.append((lo, hi, original))
-    return sorted(chosen)
+    return Fakes(table, threshold).near_misses(text)
 
 
 def restore_fuzzy(text: str, table: dict[str, str], threshold: float = 0.85) -> str:
     """Exact restore, then the near misses."""
-    text, out, at = restore_any(text, table), [], 0
-    for lo, hi, original in near_misses(text, table, threshold):
-        out += [text[at:lo], original]
-        at = hi
-    return "".join([*out, text[at:]])
+    return Fakes(table, threshold).restored_nearly(text)
 
 
 def restore_fuzzy_df(df: DataFrame, mapping: DataFrame, request: str, text_col: str, threshold: float = 0.85, out: str = "restored") -> DataFrame:
     """``restore`` with arbitrary fakes and near misses, in Arrow batches."""
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series, table: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not m else restore_fuzzy(t, dict(m), threshold) for t, m in zip(text, table, strict=True)], dtype=object)
+        done = []
+        for t, m in zip(text, table, strict=True):
+            if t is None or not m:
+                done.append(t)
+                continue
+            key = tuple(dict(m).items())
+            if key not in ready:
+                if len(ready) >= TABLES:
+                    ready.clear()
+                ready[key] = Fakes(dict(key), threshold)
+            done.append(ready[key].restored_nearly(t))
+        return pd.Series(done, dtype=object)
 
+    ready: dict[tuple, Fakes] = {}
     names = df.columns
     joined = df.join(request_maps(mapping, request), F.col(request).eqNullSafe(F.col("_mreq")), "left")
     return joined.select(*names, run(F.col(text_col), F.col("_map")).alias(out))
