@@ -116,3 +116,26 @@ def test_chunks_give_the_same_as_one_sort():
         return {(i, p) for i, a, b in found.tolist() for p in range(a, b)}
 
     assert covered(1 << 20) == covered(500) == covered(1)
+
+
+def test_only_recurring_windows_are_sorted(monkeypatch):
+    r = random.Random(4)
+    line = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    phrase, passage = line(30), line(90)
+    texts = [line(25) + phrase + line(25) for _ in range(200)] + [line(40) + passage, passage + line(40), phrase + b"Z" + passage[:49]]
+    ids, begins = np.arange(203), np.zeros(203, np.int64)
+    sizes = []
+    monkeypatch.setattr(suffixdedup, "suffix_array", lambda flat: sizes.append(len(flat)) or suffix_array(flat))
+    found, first = suffixdedup.resolve(ids, ids, begins, texts, survivors=True)
+    assert found.tolist() == [[201, 0, 90]]
+    assert (200, 0, 130) in first and (201, 41, 130) in first and (0, 0, 80) in first
+    assert sum(sizes) < 400
+
+
+def test_names_sort_by_doubled_prefixes():
+    from veilspan.llm.suffixarray import _doubled
+
+    r = random.Random(5)
+    for k in range(300):
+        names = [r.randrange(1, 1 + r.choice([1, 2, 50])) for _ in range(r.randrange(80))] * (3 if k % 4 == 0 else 1) + [0]
+        assert _doubled(np.array(names, np.int32)).tolist() == sorted(range(len(names)), key=lambda i, names=names: names[i:])

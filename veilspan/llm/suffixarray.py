@@ -2,9 +2,9 @@
 
 Suffixes are classified as smaller or larger than their right neighbour. The substrings between leftmost
 smaller positions are sorted by one induction and named; if names repeat, the string of names is sorted by
-the same function; a second induction then places all suffixes in linear work. An induction scans the array
-in batches: a batch may be as long as nothing that it places falls inside it, so whole buckets (or, for large
-alphabets, runs of many buckets) are handled by a few array operations.
+doubled prefixes (its alphabet is large, so an induction over it would go in batches of few positions); a second
+induction then places all suffixes. An induction scans the array in batches: a batch may be as long as nothing
+that it places falls inside it, so whole buckets are handled by a few array operations.
 """
 
 from __future__ import annotations
@@ -131,6 +131,28 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     return sa
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix array of names, the last of which is the unique least one, by ranks of prefixes of 1, 2, 4 ... names.
+
+    A rank is the first place of its group; only groups of several suffixes are sorted again.
+    """
+    n = len(names)
+    order, rank = np.arange(n), np.empty(n, np.int64)
+    at, key, span = np.arange(n), names.astype(np.int64), 1
+    while len(at):
+        by = np.argsort(key)
+        p, key = order[at][by], key[by]
+        order[at] = p
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(np.append(heads, len(at)))
+        rank[p] = np.repeat(at[heads], counts)
+        several = np.repeat(counts > 1, counts)
+        at, p = at[several], p[several]
+        key = rank[p] * n + rank[p + span]  # equal prefixes end before the last name, which is unique
+        span *= 2
+    return order
+
+
 def _sort(t: np.ndarray, symbols: int) -> np.ndarray:
     """Suffix array of ``t``, whose last symbol is the unique least one, 0."""
     n = len(t)
@@ -161,7 +183,7 @@ def _sort(t: np.ndarray, symbols: int) -> np.ndarray:
     name[order] = np.append(0, np.cumsum(~same))
     reduced = name[lms]
     if int(name[order[-1]]) + 1 < len(lms):
-        order = lms[_sort(reduced, int(reduced.max()) + 1)]
+        order = lms[_doubled(reduced)]
     return _induce(t, small, ends, order)
 
 

@@ -10,9 +10,10 @@ window inside them (the least-hashed GRAM bytes), so:
    copied in one piece travels in one piece. Anchors that many blocks have are first resolved inside the
    block, and beyond FAN blocks in groups of blocks, so a passage that a third of all documents hold reaches
    its last shard a bounded number of times.
-3. A shard sorts its stretches with induced sorting; runs of common prefixes of LENGTH or more are the equal
-   strings, and all but those of the smallest id are removed. A shard larger than CHUNK bytes is worked
-   through in order of ids against what has been found to be first so far.
+3. A shard sorts, with induced sorting, what of its stretches is covered by windows of LENGTH bytes whose hash
+   occurs again there (agreements of an anchor alone, which grow with the table, are left out); runs of common
+   prefixes of LENGTH or more are the equal strings, and all but those of the smallest id are removed. A shard
+   larger than CHUNK bytes is worked through in order of ids against what has been found to be first so far.
 4. Removed ranges go back to their blocks and are cut from the texts.
 
 Anchors only route: hashes that collide bring strings together that differ, and the suffix array tells.
@@ -118,6 +119,44 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _recurring(flat: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """Starts among ``fits`` whose window's hash occurs again; equal windows are never told apart.
+
+    A count by some bits of the hash leaves fewer to be sorted by all of it.
+    """
+    likely = np.zeros(len(flat), bool)
+    p = np.flatnonzero(fits)
+    if not len(p):
+        return likely
+    n = len(flat) - LENGTH + 1
+    w = _words(flat)
+    h = np.zeros(n, np.uint64)
+    for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        h ^= h >> np.uint64(29)
+        h += w[off : off + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h = (h * np.uint64(0x94D049BB133111EB))[p]
+    bits = int(len(p)).bit_length() + 1
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    again = np.bincount(slot, minlength=1 << bits)[slot] > 1
+    p, h = p[again], h[again]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    p = p[order[np.append(same, False) | np.append(False, same)]] if len(p) else p
+    likely[p] = True
+    return likely
+
+
+def _covered(starts: np.ndarray) -> np.ndarray:
+    """Positions that windows at the marked starts cover."""
+    p = np.flatnonzero(starts)
+    step = np.zeros(len(starts) + 1, np.int32)
+    step[p] += 1
+    step[p + LENGTH] -= 1
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
 def resolve(rows: np.ndarray, ids: np.ndarray, begins: np.ndarray, texts: list[bytes], chunk: int = CHUNK, survivors: bool = False):
     """Which windows of stretches also occur in a stretch of a smaller id.
 
@@ -143,13 +182,17 @@ def resolve(rows: np.ndarray, ids: np.ndarray, begins: np.ndarray, texts: list[b
         starts = np.cumsum(sizes) - sizes
         seg = np.repeat(np.arange(len(now), dtype=np.int32), sizes)
         fits = np.repeat(starts + sizes - LENGTH, sizes) >= np.arange(len(flat))
-        sa = suffix_array(flat)
-        long = permuted_lcp(flat, sa)[sa] >= LENGTH
-        heads = np.flatnonzero(~long)
-        known = np.where(fits[sa], ids[no[seg[sa]]], np.iinfo(np.int64).max)
-        least = np.repeat(np.minimum.reduceat(known, heads), np.diff(np.append(heads, len(sa)))) if len(sa) else known
         gone = np.zeros(len(flat), bool)
-        gone[sa] = fits[sa] & (known > least)
+        likely = _recurring(flat, fits)
+        covered = _covered(likely)
+        if len(covered):
+            part, at_part, who = flat[covered], likely[covered], ids[no[seg[covered]]]
+            sa = suffix_array(part)
+            long = permuted_lcp(part, sa)[sa] >= LENGTH
+            heads = np.flatnonzero(~long)
+            known = np.where(at_part[sa], who[sa], np.iinfo(np.int64).max)
+            least = np.repeat(np.minimum.reduceat(known, heads), np.diff(np.append(heads, len(sa))))
+            gone[covered[sa]] = at_part[sa] & (known > least)
 
         def runs(mark, seg=seg, starts=starts, lo=lo, no=no):
             p = np.flatnonzero(mark)
